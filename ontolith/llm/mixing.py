@@ -5,7 +5,7 @@ taken as they are; the fractional parts are rounded by the pivotal method: two d
 meet, words move from one to the other until one of them is an integer, the direction being drawn so
 that no expectation changes. Words, not probabilities, are moved, so a source's expected words stay
 exact through every meeting, and the last document left over decides how far the mix ends from its
-target: by less than that one document. Meetings happen inside bounded blocks of a source; each block
+target: by less than that one document. Long documents meet first, so the last one is short. Meetings happen inside bounded blocks of a source; each block
 leaves at most one fractional document, and those meet on the next level of a reduction tree.
 """
 
@@ -64,7 +64,8 @@ def _rounded(key: tuple, rows: pd.DataFrame, level: int, last: bool) -> pd.DataF
     rows = rows.sort_values(["doc_id", "size"], na_position="last", ignore_index=True)
     size, part = rows["size"].to_numpy(np.float64), rows["part"].to_numpy(np.float64).copy()
     draw = _draws(source, block, level)
-    order, luck = draw.permutation(len(rows)), draw.random(len(rows))
+    shuffled, luck = draw.permutation(len(rows)), draw.random(len(rows))
+    order = shuffled[np.argsort(-size[shuffled], kind="stable")]
     hold = -1  # the document that still has a fraction
     for i in order:
         if not 0.0 < part[i] < 1.0:
