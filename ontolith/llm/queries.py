@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontolith.llm import line_dedup, mixing
+from ontolith.llm import line_dedup, minhash, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest document of its near-duplicate class."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat earlier three-line windows."""
     return line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -24,7 +29,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_line_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_minhash, op5_line_dedup, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
