@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontolith.llm import line_dedup, minhash, mixing, toxicity, warc
+from ontolith.llm import embeddings, line_dedup, minhash, mixing, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component."""
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_warc, op5_line_dedup, op7_mixing)}
+    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_warc, op5_line_dedup, op7_mixing, op9_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
