@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontolith.llm import embeddings, line_dedup, minhash, mixing, toxicity, warc
+from ontolith.llm import chat, embeddings, line_dedup, minhash, mixing, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the role that its transcript shows, rendered."""
+    return chat.recover(_table(spark, sf_dir, "conversations"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
@@ -45,7 +50,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_warc, op5_line_dedup, op7_mixing, op9_embeddings)}
+    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_warc, op5_line_dedup, op6_chat, op7_mixing, op9_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
