@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontolith.llm import chat, embeddings, line_dedup, minhash, mixing, toxicity, warc
+from ontolith.llm import chat, decontaminate, embeddings, line_dedup, minhash, mixing, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the labels outside the held-out fold."""
     scored = toxicity.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
@@ -50,8 +56,8 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op3_toxicity, op4_warc, op5_line_dedup, op6_chat, op7_mixing, op9_embeddings)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_toxicity, op4_warc, op5_line_dedup, op6_chat, op7_mixing, op9_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op4_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL}
