@@ -57,7 +57,7 @@ def classes(keys: DataFrame, texts: DataFrame, least: float, score: Callable = _
     entries = written(keys.join(heads, "key").select("key", "id", "head", "n"), "buckets")
     first = written(entries.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
     used = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    paired = written(texts.join(used, "id").select("id", "text"), "texts")
+    paired = written(texts.hint("merge").join(used, "id").select("id", "text"), "texts")
     told = verified(first, paired, score)
     links = told.where(F.col("sim") >= least)
     at = components(links)
