@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ontolith.llm.near import bound_batches
+from ontolith.llm.near import GROUPED, Sets, bound_batches, dealt, runs
 from ontolith.plans.components import components
 from ontolith.plans.shared import discard, written
 
@@ -92,16 +92,6 @@ def _hash(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(dims=[0 if u is None else len(u) for u in units], keys=keys)[["id", "h1", "label", "dims", "copies", "embedding", "keys"]]
 
 
-def _runs(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the two sides to compare in each bucket of a sorted group; the same array twice for one block."""
-    names = [group[c].to_numpy() for c in ("key", "dims")] + [pd.factorize(group["label"])[0]]
-    cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in names])) + 1
-    side, one = group["side"].to_numpy(), bool((group["x"] == group["y"]).iloc[0])
-    for run in np.split(np.arange(len(group)), cut):
-        left = run[side[run] == 0]
-        yield left, left if one else run[side[run] == 1]
-
-
 def _compared(least: float):  # noqa: ANN202
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """The links of buckets: for each vector their number, and a link that leads to all it is linked to."""
@@ -109,16 +99,8 @@ def _compared(least: float):  # noqa: ANN202
         ids, h1, weight, key = (group[c].to_numpy() for c in ("id", "h1", "copies", "key"))
         keys, vectors = list(group["keys"]), list(group["embedding"])
         n: dict[tuple[int, int], int] = {}
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root.setdefault(x, x)
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for left, right in _runs(group):
+        sets = Sets()
+        for left, right in runs(group, ["label", "dims", "key"]):
             if not len(left) or not len(right):
                 continue
             a = np.stack([_unit(vectors[i]) for i in left])
@@ -131,10 +113,8 @@ def _compared(least: float):  # noqa: ANN202
                 p, q = (ids[i], h1[i]), (ids[j], h1[j])
                 n[p] = n.get(p, 0) + int(weight[j])
                 n[q] = n.get(q, 0) + int(weight[i])
-                x, y = find(ids[i]), find(ids[j])
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-        return pd.DataFrame({"id": [p[0] for p in n], "h1": [p[1] for p in n], "n": list(n.values()), "to": [find(p[0]) for p in n]}, dtype="int64")
+                sets.join(int(ids[i]), int(ids[j]))
+        return pd.DataFrame({"id": [p[0] for p in n], "h1": [p[1] for p in n], "n": list(n.values()), "to": [sets.find(int(p[0])) for p in n]}, dtype="int64")
 
     return compare
 
@@ -166,16 +146,9 @@ def near_vectors(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
     kinds = f"id long, h1 long, label {kinds['label']}, dims int, copies long, embedding {kinds['embedding']}, keys array<long>"
     hashed = written(sets.mapInPandas(_hash, kinds).where("keys IS NOT NULL"), "hashed")
     entries = hashed.select("id", "h1", F.explode(F.array_distinct("keys")).alias("key"), "label", "dims")
-    busy = entries.groupBy("key", "label", "dims").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    busy = entries.join(busy, ["key", "label", "dims"]).select("id", "h1", "key", F.pmod(F.xxhash64("id", "h1"), blocks).cast("int").alias("mine"), blocks.alias("blocks"))
-    dealt = busy.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("id", "h1", "key", "blocks", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    dealt = written(dealt, "dealt")
-    groups = max(1, dealt.count() // GROUP)
-    loaded = dealt.join(hashed, ["id", "h1"])
-    cell = F.when(F.col("blocks") > 1, F.xxhash64("key", "label", "dims")).otherwise(F.pmod(F.xxhash64("key", "label", "dims"), F.lit(groups)))
-    found = loaded.withColumn("cell", cell).groupBy("cell", "blocks", "x", "y").applyInPandas(_compared(least), "id long, h1 long, n long, to long")
+    meet = dealt(entries, ["key", "label", "dims"], ["id", "h1"], BLOCK, GROUP)
+    loaded = meet.drop("label", "dims").join(hashed, ["id", "h1"])
+    found = loaded.groupBy(*GROUPED).applyInPandas(_compared(least), "id long, h1 long, n long, to long")
     found = written(found, "found")
     at = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     linked = found.groupBy("id", "h1").agg(F.sum("n").alias("n"))
@@ -185,5 +158,5 @@ def near_vectors(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
     out = marked.select("vec_id", F.col("mark.h1").alias("h1")).join(named, "h1", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     out = written(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors")
-    discard(hashed, dealt, found, at)
+    discard(hashed, meet, found, at)
     return out
