@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontolith.llm import chat, decontaminate, embeddings, line_dedup, minhash, mixing, toxicity, warc
+from ontolith.llm import chat, decontaminate, embeddings, line_dedup, minhash, mixing, passages, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,13 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of words that repeats a passage of another place."""
+    return passages.repeated(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_toxicity, op4_warc, op5_line_dedup, op6_chat, op7_mixing, op9_embeddings)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_toxicity, op4_warc, op5_line_dedup, op6_chat, op7_mixing, op9_embeddings, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
