@@ -24,7 +24,7 @@ from ontolith.plans.shared import discard, written
 
 
 #: Members of a bucket in one block; rows of small buckets in one group.
-BLOCK, GROUP = 128, 1024
+BLOCK, GROUP = 512, 1024
 
 
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
