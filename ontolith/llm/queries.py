@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ontolith.llm import chat, decontaminate, embeddings, line_dedup, minhash, mixing, passages, toxicity, warc
+from ontolith.llm import backoff, chat, decontaminate, embeddings, line_dedup, minhash, mixing, passages, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language-model score, with counts over all documents."""
+    return backoff.scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its links and component."""
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
@@ -61,8 +66,8 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_toxicity, op4_warc, op5_line_dedup, op6_chat, op7_mixing, op9_embeddings, op10_passages)}
+    return {f.__name__: f for f in (op1_minhash, op2_decontaminate, op3_toxicity, op4_warc, op5_line_dedup, op6_chat, op7_mixing, op8_backoff, op9_embeddings, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.SQL, "op4_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op4_warc": warc.SQL, "op5_line_dedup": line_dedup.SQL, "op8_backoff": backoff.SQL}
