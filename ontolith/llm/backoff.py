@@ -113,7 +113,7 @@ def _scoring(n: int, alpha: float, least: int):  # noqa: ANN202
         micro = np.rint(1e6 * np.log(value)) if len(value) else value
         k = len(docs)
         cols = {"words": np.bincount(of, minlength=k), "backoffs": np.bincount(of, ~seen & ~begins, k), "score_micro": np.bincount(of, micro, k)}
-        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64").array} | {c: np.rint(v).astype(np.int64) for c, v in cols.items()})
+        return pd.DataFrame({"doc_id": pd.array([None if i is None else int(i) for i in docs["doc_id"]], "Int64")} | {c: np.rint(v).astype(np.int64) for c, v in cols.items()})
 
     return score
 
@@ -128,7 +128,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, chunk_byte
     score 0. Rows that repeat a doc_id or a text are rows of their own, and count. Null ids stay null.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")  # pandas would make floats of nullable integers
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, bits = max(1, size // chunk_bytes), max(0, int(size // part_bytes).bit_length())
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))

@@ -26,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 ROWS_PER_BLOCK = 8192
 FAN_IN = 64
-BLOCK = "source string, block long, doc_id long, size long, whole long, part double, left boolean"
+BLOCK = "source string, block long, no_id boolean, doc_id long, size long, whole long, part double, left boolean"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -61,8 +61,9 @@ def _draws(*key: object) -> np.random.Generator:
 def _rounded(key: tuple, rows: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
     """One block of one source: all parts become 0 or 1 but one, which ``left`` marks."""
     source, block = (None if pd.isna(x) else x for x in key)
-    rows = rows.sort_values(["doc_id", "size"], na_position="last", ignore_index=True)
+    rows = rows.sort_values(["no_id", "doc_id", "size"], ignore_index=True)
     size, part = rows["size"].to_numpy(np.float64), rows["part"].to_numpy(np.float64).copy()
+    part[size == 0] = 0.0  # nothing to take
     draw = _draws(source, block, level)
     shuffled, luck = draw.permutation(len(rows)), draw.random(len(rows))
     order = shuffled[np.argsort(-size[shuffled], kind="stable")]
@@ -114,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_block)).cast("long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     all_docs = sizes.join(aim.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "source", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), "doc_id", "size", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"), F.lit(False).alias("left")
+        "source", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "size", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"), F.lit(False).alias("left")
     )
     most_blocks = aim.agg(F.max(blocks)).first()[0] or 1
     now, done, level = all_docs, [], 0
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     for x in done[1:]:
         decided = decided.unionByName(x)
     taken = (F.col("size") * (F.col("whole") + F.round("part").cast("long"))).alias("taken")
-    return decided.join(F.broadcast(aim.withColumnRenamed("source", "of")) if _small(aim) else aim.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", taken)
+    return decided.join(F.broadcast(aim.withColumnRenamed("source", "of")) if _small(aim) else aim.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "size", "source_size", "target", taken)
 
 
 def _small(aim: DataFrame, most: int = 100_000) -> bool:

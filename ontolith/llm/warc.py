@@ -198,12 +198,12 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
         out, member, path, ordinal, filled = None, None, "", 0, 0
         for batch in batches:
             rows = []
-            for page_id, url, html in zip(batch["page_id"].astype("Int64"), batch["url"], batch["html"], strict=True):
+            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 if out is None:
                     path, member, ordinal, filled = f"{folder}/{uuid.uuid4().hex}.warc.gz", _gzip(level), 0, 0
                     out = _create(path)
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                page = None if pd.isna(page_id) else int(page_id)
+                page = None if page_id is None else int(page_id)
                 record, digest = response(page, url, payload)
                 out.write(member.compress(record))
                 rows.append((path, ordinal, page, digest, len(payload)))
@@ -217,7 +217,8 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
             out.write(member.flush())
             out.close()
 
-    return written(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(write, _WROTE), "wrote")
+    ids = F.col("page_id").cast("long").cast("string").alias("page_id")  # pandas would make floats of nullable integers
+    return written(pages.select(ids, "url", "html").mapInPandas(write, _WROTE), "wrote")
 
 
 def normalise_archives(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
