@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from ontolith.llm import text as T
 from ontolith.llm.near import bound_batches
-from ontolith.plans.shared import discard, written
+from ontolith.plans.shared import written
 
 ALPHA = 0.4
 #: Bigrams of fewer occurrences are treated as unseen.
 LEAST = 2
 CHUNK_BYTES, PART_BYTES = 4 << 20, 16 << 20
 _U = np.uint64
-_ASKED = "chunk long, part long, grams binary, counts binary, words long"
+_ASKED = "chunk long, part long, grams binary, counts binary"
+#: A word, in lower-cased text; as in ``text``.
+WORD = r"[^\x00-\x2f\x3a-\x5e\x60\x7b-\x7f]+"
 _SCORED = "doc_id long, words long, backoffs long, score_micro long"
 
 
@@ -76,8 +78,7 @@ def _asking(bits: int):  # noqa: ANN202
         for p in range(1 << bits):
             g = have[cut[p] : cut[p + 1]]
             if len(g):
-                rows.append((group["chunk"].iloc[0], p, pack(np.diff(g, prepend=_U(0))[:1]) + pack(np.diff(g)), pack(n[cut[p] : cut[p + 1]]), 0))
-        rows.append((group["chunk"].iloc[0], -1, b"", b"", len(one)))
+                rows.append((group["chunk"].iloc[0], p, pack(np.diff(g, prepend=_U(0))[:1]) + pack(np.diff(g)), pack(n[cut[p] : cut[p + 1]])))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _ASKED.split(", ")])
 
     return ask
@@ -101,7 +102,7 @@ def _scoring(n: int, alpha: float, least: int):  # noqa: ANN202
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         one, two, of = grams(list(docs["text"]))
         have, _ = _shared(one, two)
-        answers = answers[answers["part"] >= 0].sort_values("part")
+        answers = answers.sort_values("part")
         total = np.concatenate([*[unpack(t) for t in answers["totals"]], np.zeros(0, _U)]).astype(np.float64)
         uni = total[np.searchsorted(have, one)] if len(one) else np.zeros(0)
         bi = np.where(two != 0, total[np.minimum(np.searchsorted(have, two), len(have) - 1)], 0.0) if len(two) else np.zeros(0)
@@ -129,16 +130,16 @@ def scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, chunk_byte
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")  # pandas would make floats of nullable integers
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = F.regexp_count(F.lower("text"), F.lit(WORD))
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.sum(counted)).first()
+    size, n = size or 0, n or 0
     chunks, bits = max(1, size // chunk_bytes), max(0, int(size // part_bytes).bit_length())
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    asked = written(dealt.groupBy("chunk").applyInPandas(_asking(bits), _ASKED), "asked")
-    n = asked.agg(F.sum("words")).first()[0] or 0
-    answers = asked.where("part >= 0").groupBy("part").applyInPandas(_answer, "chunk long, part long, totals binary")
+    # Both uses of ``dealt`` take all its columns by chunk, so that one shuffle of the texts serves both.
+    asked = dealt.groupBy("chunk").applyInPandas(_asking(bits), _ASKED)
+    answers = asked.groupBy("part").applyInPandas(_answer, "chunk long, part long, totals binary")
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scoring(n, alpha, least), _SCORED)
-    out = written(scored.withColumn("log_score", F.col("score_micro") / 1e6), "scores")
-    discard(asked)
-    return out
+    return written(scored.withColumn("log_score", F.col("score_micro") / 1e6), "scores")
 
 
 #: The same rows in SQL.
