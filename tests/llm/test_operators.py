@@ -399,3 +399,27 @@ def test_repeated_passages_are_found(spark, none):
     assert passages.repeated(none).count() == 0
     with pytest.raises(Exception, match="doc_id must be"):
         passages.repeated(spark.createDataFrame([(-1, "x")], "doc_id long, text string")).count()
+
+
+def test_bands_recall_edited_paragraphs():
+    draw, both, found = random.Random(11), 0, 0
+    for _ in range(600):
+        text = prose(draw, passages.LONG)
+        a, b = (T.shingle_hashes(T.word_hashes(t))[None] for t in (text, edited(draw, text, 1)))
+        if T.similarity(T.bag(a[0]), T.bag(b[0])) >= 0.8:
+            both += 1
+            found += any(x[0] == y[0] for x, y in zip(passages._keys(a)[0], passages._keys(b)[0], strict=True))
+    assert both > 300 and found >= 0.99 * both
+
+
+def test_edited_passages_are_found(spark):
+    draw = random.Random(12)
+    clean = lambda n: " ".join(f"c{draw.randrange(10**8)}" for _ in range(n))
+    rows = []
+    for i in range(60):
+        passage = clean(100).split()
+        changed = [*passage[:49], "changed", *passage[50:]]
+        rows += [(2 * i, f"{clean(30)} {' '.join(passage)} {clean(30)}"), (2 * i + 1, f"{clean(40)} {' '.join(changed)} {clean(20)}")]
+    got = passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    over = {g.doc_id for g in got if not g.kept and g.first_word <= 40 + 49 < g.first_word + g.n_words}
+    assert len(over) >= 48 and all(d % 2 for d in over)
