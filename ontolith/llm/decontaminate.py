@@ -1,8 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows, with DataFrame functions only.
 
 A window is as many consecutive words of a document as a benchmark item has. Windows that share no
-shingle with any item have similarity zero with all of them, so only those that do are fingerprinted:
-they are placed where the shared shingle stands in its item. Fingerprints are 64-bit SimHashes of the
+shingle with any item have similarity zero with all of them. A window and an item that are ``least``
+alike share at least a known number of shingles, so every window, wherever it starts, that has an item's
+shingles at that many of its places is fingerprinted, and no other: none of the rest can be alike. Fingerprints are 64-bit SimHashes of the
 words. An index over 16 blocks of 4 bits finds every item of the window's size within 15 bits: two
 fingerprints that differ in fewer bits than there are blocks agree on a block. What is found is
 verified by the weighted Jaccard similarity of the bags of five-word shingles.
@@ -87,11 +88,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR)
     many = grams.count()
     for width in widths:
         there = words.select(*doc, F.size("w").alias("length"), F.posexplode(_shingles("w", width)).alias("pos", "h"))
-        hits = there.join(_bounded(grams.where(F.col("width") == width).select("h", "size", "place"), many), "h")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), F.col("length") - F.col("size")))
-        hits = hits.select(*doc, "size", start.alias("start"), F.lit(width).alias("width")).distinct()
+        of = grams.where(F.col("width") == width).select("h", "item", "size").distinct()
+        hits = there.join(_bounded(of, many), "h").select(*doc, "item", "size", "length", "pos", F.lit(width).alias("width")).distinct()
         seeds = hits if seeds is None else seeds.unionByName(hits)
-    seeds = written(seeds, "windows")
+    hits = written(seeds, "hits")
+    places = F.least("size", "length") - F.col("width") + 1  # shingles of a window
+    need = F.ceil(least * (places + F.col("size") - F.col("width") + 1) / (1 + least) - 1e-9)
+    group = [*doc, "item", "size", "length", "width"]
+    enough = hits.groupBy(*group).agg(F.count("*").alias("n")).where((F.col("n") >= need) & (F.col("n") > 0))
+    enough = enough.select(*[F.col(c).alias(f"_{c}") for c in group[:3]])
+    alike = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("item") == F.col("_item"))
+    last = F.greatest(F.lit(0), F.col("length") - F.col("size"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - places + 1), F.least("pos", last))
+    at = hits.join(enough, alike).select(*group, F.explode(starts).alias("start"))
+    at = at.groupBy(*group, "start").agg(F.count("*").alias("n")).where(F.col("n") >= need)
+    seeds = written(at.select(*doc, "size", "start", "width").distinct(), "windows")
     texts = docs.hint("merge").join(seeds.select(*doc).distinct().toDF("d", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi").distinct()
     held = texts.select(*doc, _words().alias("w")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     window = [*doc, "size", "start", "width"]

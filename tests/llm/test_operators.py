@@ -167,6 +167,25 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contaminated(df, bm.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bm).count()
 
 
+def test_reordered_items_are_contamination(spark):
+    draw = random.Random(21)
+    own = lambda n, c: [f"{c}{draw.randrange(10**8)}" for _ in range(n)]
+    items, docs = [], []
+    for i, size in enumerate([100, 60, 100, 80]):
+        a = own(size, "i")
+        items.append((i, " ".join(a)))
+        for k, cut in enumerate([size // 2, 12, size - 9]):
+            docs.append((10 * i + k, " ".join([*own(30, "j"), *a[cut:], *a[:cut], *own(25, "j")])))
+        docs.append((10 * i + 5, " ".join([*a[7:], *a[:7]])))
+        docs.append((10 * i + 6, " ".join([*own(30, "j"), *a[: size // 2], *own(30, "j"), *a[size // 2 :]])))
+        docs.append((10 * i + 7, " ".join(a[: size - 5])))
+    df, bm = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(g.doc_id, g.item_id): round(g.similarity, 9) for g in decontaminate.contaminated(df, bm).collect()}
+    wanted = brute_leaks(docs, items)
+    assert {(10 * i + k, i) for i in range(4) for k in (0, 1, 2, 5, 7)} <= set(wanted)
+    assert got == wanted
+
+
 # 3
 def test_toxicity_learns_and_ignores_groups(spark):
     draw, rows, labels = random.Random(3), [], []
