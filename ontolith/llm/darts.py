@@ -59,18 +59,3 @@ def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     for j in range(rows):
         key = mixed(key * _STEP ^ parts[:, :, j])
     return key.view(np.int64)
-
-
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """Two bits of every value, 32 values to a signed 64-bit integer; missing values are zero bits."""
-    n, k = signature.shape
-    two = np.zeros((n, -(-k // 32) * 32), _U)
-    two[:, :k] = (signature >> _U(40)) & _U(3)  # the low bits follow from the coordinate
-    shift = np.arange(0, 64, 2, dtype=_U)
-    return np.bitwise_or.reduce(two.reshape(n, -1, 32) << shift, axis=2).view(np.int64)
-
-
-def fewest_agreeing(k: int, least: float, deviations: float = 4.0) -> float:
-    """Of ``k`` two-bit values, how many agree at a similarity of ``least``, less ``deviations`` standard deviations."""
-    p = least + (1 - least) / 4
-    return k * p - deviations * float(np.sqrt(k * p * (1 - p)))

@@ -14,7 +14,7 @@ from ontolith.plans.shared import discard, written
 
 ROWS, BANDS = 6, 40
 SIMILAR = 0.8
-_SIGNED = "doc_id long, d1 long, d2 long, bands array<long>, sketch array<long>"
+_SIGNED = "doc_id long, d1 long, d2 long, bands array<long>"
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -22,15 +22,14 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = [T.word_hashes(x or "") for x in batch["text"]]
         ids = batch["doc_id"].array
         keys: list = [None] * len(words)
-        marks: list = [None] * len(words)
         some = [i for i, w in enumerate(words) if len(w)]
         for at in range(0, len(some), 256):
             part = some[at : at + 256]
             signature = darts.signatures([T.bag(T.shingle_hashes(words[i])) for i in part], ROWS * BANDS)
-            for i, row, mark in zip(part, darts.bands(signature, ROWS), darts.sketches(signature), strict=True):
-                keys[i], marks[i] = row, mark
+            for i, row in zip(part, darts.bands(signature, ROWS), strict=True):
+                keys[i] = row
         digests = [T.digest(w) if len(w) else (None, None) for w in words]
-        yield pd.DataFrame({"doc_id": ids, "d1": pd.array([d[0] for d in digests], "Int64"), "d2": pd.array([d[1] for d in digests], "Int64"), "bands": keys, "sketch": marks})
+        yield pd.DataFrame({"doc_id": ids, "d1": pd.array([d[0] for d in digests], "Int64"), "d2": pd.array([d[1] for d in digests], "Int64"), "bands": keys})
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -54,11 +53,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         docs = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
         discard(signed)
         signed = written(docs.mapInPandas(_sign, _SIGNED), "signed")
-    copies = signed.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    copies = signed.where("d1 IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     copies = written(copies, "copies")
     keys = copies.select(F.explode("bands").alias("key"), "id")
     texts = docs.withColumnRenamed("doc_id", "id")
-    at, links = near.classes(keys, lambda used: texts.hint("merge").join(used, "id"), copies.select("id", "sketch"), ROWS * BANDS, least)
+    at, links = near.classes(keys, lambda used: texts.hint("merge").join(used, "id"), least)
     of = signed.join(copies.select("d1", "d2", "id"), ["d1", "d2"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
     named = of.join(at.withColumnRenamed("v", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
     out = named.withColumn("kept", F.col("doc_id") == F.col("class_id"))

@@ -1,180 +1,141 @@
 """From banded keys to verified links and classes; shared by the MinHash operators.
 
-No step needs all members of a bucket in one place. A bucket's members first meet its smallest member
-only. Whatever the verified links connect needs no more comparing; members of one bucket that are
-still in different classes meet in blocks, where two bounds rule most pairs out before their texts are
-compared: the triangle inequality on the distance to the bucket's smallest member, and the number of
-signature values that agree, four standard deviations below what a link shows at least.
+No step needs all members of a bucket in one place. A bucket's members meet its smallest member only,
+and verified links connect them. What shares a bucket with another class after that goes to an exact
+similarity join (``across``), whose rows are tokens: it finds every link between different classes, and
+no bound in it is a guess.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ontolith.llm import darts
 from ontolith.llm import text as T
 from ontolith.plans.components import components
 from ontolith.plans.shared import discard, written
 
 
-#: Members of a bucket in one block; rows of small buckets in one group.
-BLOCK, GROUP = 512, 1024
-
-
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound what one Arrow batch holds, so that long texts don't meet ten thousand others in memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 class _Bags:
-    """Bags of texts by id, the least recently used of which go when all hold more than ``most`` bytes."""
+    """Bags of texts, the least recently used of which go when all hold more than ``most`` bytes."""
 
-    def __init__(self, most: int = 48 << 20) -> None:
-        self.bags: OrderedDict[int, np.ndarray] = OrderedDict()
+    def __init__(self, most: int = 32 << 20) -> None:
+        self.bags: OrderedDict[str, np.ndarray] = OrderedDict()
         self.held, self.most = 0, most
 
-    def of(self, key: int, text: str) -> np.ndarray:
-        if (bag := self.bags.get(key)) is not None:
-            self.bags.move_to_end(key)
+    def of(self, text: str) -> np.ndarray:
+        if (bag := self.bags.get(text)) is not None:
+            self.bags.move_to_end(text)
             return bag
-        self.bags[key] = bag = T.text_bag(text)
+        self.bags[text] = bag = T.text_bag(text)
         self.held += bag.nbytes
         while self.held > self.most and len(self.bags) > 1:
             self.held -= self.bags.popitem(last=False)[1].nbytes
         return bag
 
 
-def _bag_similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bags = _Bags()
-    for batch in batches:
-        rows = zip(batch["a"], batch["b"], batch["a_text"], batch["b_text"], strict=True)
-        sim = [T.similarity(bags.of(a, ta), bags.of(b, tb)) for a, b, ta, tb in rows]
-        yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "sim": np.array(sim, float)})
+def _similarity() -> Callable[[Column | str, Column | str], Column]:
+    held: list[_Bags] = []
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not held:
+            held.append(_Bags())
+        return pd.Series([T.similarity(held[0].of(x), held[0].of(y)) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return similarity
+
+
+def _bag(text: str) -> Column:
+    """The tokens of a text: its bag of shingles, each once (see ``text.bag``)."""
+
+    @F.pandas_udf("array<long>")
+    def bag(texts: pd.Series) -> pd.Series:
+        return pd.Series([T.text_bag(t).view(np.int64) for t in texts], dtype=object)
+
+    return bag(text)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, score: Callable = _bag_similarities) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) distinct pairs and (id, text) -> (a, b, sim), by the whole texts, written out.
 
-    A text in very many pairs makes a skewed join, which
-    AQE splits; nothing gathers its pairs.
+    A text in very many pairs makes a skewed join, which AQE splits; nothing gathers its pairs.
     """
     a, b = texts.toDF("a", "a_text"), texts.toDF("b", "b_text")
-    return written(pairs.join(a, "a").join(b, "b").mapInPandas(score, "a long, b long, sim double"), "verified")
+    both = pairs.join(a, "a").join(b, "b")
+    return written(both.select("a", "b", _similarity()("a_text", "b_text").alias("sim")), "verified")
 
 
-def dealt(entries: DataFrame, buckets: list[str], member: list[str], block: int, group: int) -> DataFrame:
-    """Deal the members of buckets to groups in which all pairs of a bucket meet just once.
+def across(ids: DataFrame, texts: DataFrame, least: float, apart: Callable[[Column, Column], Column]) -> DataFrame:
+    """(id, component) and (id, text) -> (a, b, sim): every link between texts of different components.
 
-    A bucket of up to ``block`` members is one run of rows; runs share groups of about ``group`` rows. A
-    larger bucket is cut into blocks by a hash of ``member``, and each pair of blocks is a group. Group
-    by ``GROUPED``; rows of side 0 meet those of side 1, or one another where x = y.
+    An exact similarity join by prefixes. Tokens of one component only can't be shared across; they come
+    first, the others by their frequency. Two texts that are alike share a token among the first of both,
+    at places that leave room for all the tokens they must share. Of the texts with such a token at
+    least one lies outside the component that has most of them, so only those meet the others.
     """
-    sizes = entries.groupBy(*buckets).agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    busy = entries.join(sizes.drop("m"), buckets).withColumn("mine", F.pmod(F.xxhash64(*member), F.col("blocks")).cast("int"))
-    each = busy.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    each = each.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other"), "side": (F.col("mine") > F.col("other")).cast("int")})
-    each = written(each.drop("mine", "other"), "dealt")
-    groups = max(1, each.count() // group)
-    alone = F.xxhash64(*buckets)
-    out = each.withColumn("cell", F.when(F.col("blocks") > 1, alone).otherwise(F.pmod(alone, F.lit(groups))))
-    out._shared_path = each._shared_path
-    return out
-
-
-GROUPED = ["cell", "blocks", "x", "y"]
-
-
-def runs(group: pd.DataFrame, buckets: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the two sides to compare for each bucket of a sorted group; the same array twice within one block."""
-    names = [pd.factorize(group[c])[0] for c in buckets]
-    cut = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in names])) + 1
-    side, one = group["side"].to_numpy(), bool((group["x"] == group["y"]).iloc[0])
-    for run in np.split(np.arange(len(group)), cut):
-        left = run[side[run] == 0]
-        yield left, left if one else run[side[run] == 1]
-
-
-class Sets:
-    """Disjoint sets of integers, each named by its smallest."""
-
-    def __init__(self) -> None:
-        self.root: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        self.root.setdefault(x, x)
-        while self.root[x] != x:
-            self.root[x] = self.root[self.root[x]]
-            x = self.root[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        """Whether they were apart."""
-        x, y = self.find(x), self.find(y)
-        self.root[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _joining(least: float, values: int, gap: int):  # noqa: ANN202
-    fewest = darts.fewest_agreeing(values, least) if values else 0
-
-    def joining(group: pd.DataFrame) -> pd.DataFrame:
-        """Links between the classes that meet in the group's buckets, enough to join all that a link joins."""
-        group = group.sort_values(["key", "id"], ignore_index=True)
-        ids, component, sim, text = (group[c].to_numpy() for c in ("id", "component", "sim", "text"))
-        sketch = np.stack(group["sketch"].to_list()).view(np.uint64) if values else np.zeros((len(group), 0), np.uint64)
-        spare, sets, bags, out = 32 * sketch.shape[1] - values, Sets(), _Bags(), []
-        for i, c in zip(ids, component, strict=True):
-            sets.join(int(i), int(c))
-        for left, right in runs(group, ["key"]):
-            for i in left:
-                j = right[right > i] if right is left else right
-                j = j[(component[j] != component[i]) & ~(np.abs(sim[j] - sim[i]) > 1 - least + 1e-9) & (np.abs(ids[j] - ids[i]) >= gap)]
-                x = sketch[j] ^ sketch[i]
-                unlike = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
-                for k in j[32 * sketch.shape[1] - spare - unlike >= fewest]:
-                    a, b = int(ids[i]), int(ids[k])
-                    if sets.find(a) != sets.find(b) and (s := T.similarity(bags.of(a, text[i]), bags.of(b, text[k]))) >= least:
-                        sets.join(a, b)
-                        out.append((a, b, s))
-        return pd.DataFrame(out, columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
-
-    return joining
-
-
-def classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], sketches: DataFrame | None, values: int, least: float, gap: int = 1) -> tuple[DataFrame, DataFrame]:
+    bags = texts.join(ids, "id").select("id", "component", _bag("text").alias("bag"))
+    tokens = written(bags.select("id", "component", F.size("bag").alias("size"), F.explode("bag").alias("t")), "tokens")
+    shared = tokens.groupBy("t").agg(F.count("*").alias("f"), F.min("component").alias("x"), F.max("component").alias("y"))
+    rows = tokens.join(shared.where("x <> y").select("t", "f"), "t").groupBy("id", "component", "size")
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
+    fewest = F.ceil(F.col("size") * least - 1e-9)  # tokens shared with any text that is alike
+    rows = rows.where(F.size("s") >= fewest).select("id", "component", "size", (F.col("size") - F.size("s")).alias("own"), F.posexplode("s").alias("i", "u"))
+    rows = rows.select("id", "component", "size", "u.t", (F.col("own") + F.col("i")).alias("place"))
+    prefix = written(rows.where(F.col("place") <= F.col("size") - fewest), "prefix")
+    most = prefix.groupBy("t", "component").agg(F.count("*").alias("n"))
+    most = most.groupBy("t").agg(F.max(F.struct("n", "component"))["component"].alias("host"), F.count("*").alias("k")).where("k > 1").select("t", "host")
+    busy = prefix.join(most, "t")
+    one, two = (busy.select("t", *[F.col(c).alias(f"{c}{k}") for c in ("id", "component", "size", "place")], *(["host"] if k == 1 else [])) for k in (1, 2))
+    both = F.ceil(least / (1 + least) * (F.col("size1") + F.col("size2")) - 1e-9)
+    room = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) >= both
+    met = one.where("component1 <> host").drop("host").join(two, "t").where((F.col("component1") != F.col("component2")) & room)
+    met = met.where(apart(F.col("id1"), F.col("id2"))).select(F.least("id1", "id2").alias("b"), F.greatest("id1", "id2").alias("a"))
+    pairs = written(met.select("a", "b").distinct(), "candidates")
+    found = verified(pairs, texts)
+    discard(tokens, prefix, pairs)
+    return found
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return a != b
+
+
+def classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], least: float, apart: Callable[[Column, Column], Column] = _differ) -> tuple[DataFrame, DataFrame]:
     """(key, id) bucket entries -> (v, component) and links (a, b, sim) that connect them.
 
-    ``fetch`` gets a table of distinct ids and returns their (id, text), each id once. ``sketches``
-    (id, sketch), if given, has the two-bit sketch of each id's signature of ``values`` values.
-    Ids that differ by less than ``gap`` are never linked directly. Ids are distinct texts. Every pair of one bucket is linked if its similarity is ``least`` or more,
-    or is known to be in one class already; pairs that share no bucket are never compared. ``sim``
-    must be one minus a metric (Jaccard similarity is).
+    Ids are of any one orderable type and stand for distinct texts. ``fetch`` gets a table of distinct
+    ids and returns their (id, text), each id once. Two texts are linked if their similarity is ``least`` or
+    more and their ids are ``apart``, a symmetric condition; of every pair in one bucket that is
+    linked, both ends get into one class.
     """
-    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    entries = written(keys.join(heads, "key").select("key", "id", "head", "n"), "buckets")
-    first = written(entries.where(F.col("id") - F.col("head") >= gap).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
-    used = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    paired = written(fetch(used).select("id", "text"), "texts")
-    told = verified(first, paired)
+    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where(apart(F.col("head"), F.col("tail"))).drop("tail")
+    entries = written(keys.join(heads, "key").select("key", "id", "head"), "buckets")
+    first = written(entries.where(apart(F.col("id"), F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
+    texts = written(fetch(entries.select("id").distinct()).select("id", "text"), "texts")
+    told = verified(first, texts)
     links = told.where(F.col("sim") >= least)
     at = components(links)
-    known = entries.where("n > 2").join(at.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    known = known.join(told.withColumnsRenamed({"a": "id", "b": "head"}), ["id", "head"], "left")
+    known = entries.select("key", "id").join(at.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    known = written(known.where("id <> head").join(mixed, "key").select("key", "id", "component", "sim"), "unsettled")
-    if known.isEmpty():
-        links = written(links.select("a", "b", "sim"), "links")
+    open_ids = written(known.join(mixed, "key").select("id", "component").distinct(), "unsettled")
+    more = None
+    if open_ids.isEmpty():
+        links = written(links, "links")
     else:
-        meet = dealt(known, ["key"], ["id"], BLOCK, GROUP)
-        loaded = (meet if sketches is None else meet.join(sketches, "id")).join(paired, "id")
-        more = loaded.groupBy(*GROUPED).applyInPandas(_joining(least, values, gap), "a long, b long, sim double")
-        links = written(links.union(more), "links")
+        more = across(open_ids, texts, least, apart)
+        links = written(links.unionByName(more.where(F.col("sim") >= least)), "links")
+        discard(at)
         at = components(links)
-    discard(entries, first, paired, told, known)
+    discard(entries, first, texts, told, open_ids, more)
     return at, links

@@ -1,160 +1,269 @@
 """Substring dedup: repeated passages by MinHash banding of content-defined paragraphs.
 
-Passages repeat in the middle of lines, so lines can't be the paragraphs. Here a paragraph is the
-``LENGTH`` words from an anchor on, and the ``LONG`` words from it on: one changed word in the middle
-leaves a similarity of 0.62 to the 25 words, but of 0.8 to the 50. Anchors are chosen by winnowing: of
-every ``SPAN`` consecutive words the one with the least hash. The choice depends on those words alone, so that two documents that share
-``SPAN`` + ``LENGTH`` - 1 = 50 words, anywhere in them, share a whole paragraph. Equal paragraphs are
-collapsed; different ones of one length that collide in a band are joined, verified by exact Jaccard
-similarity, and clustered. Of each cluster all but the first paragraph are removals, and overlapping
-removals of a document are merged. ``BANDS`` bands of two values find 99.8 % of the pairs of paragraphs at a
-similarity of 0.8 (1 - 0.36^6), and more of the more similar ones.
+Passages repeat in the middle of lines, so lines can't be the paragraphs. A paragraph begins at an
+anchor: of every ``span`` consecutive words the one with the least hash. The choice depends on those
+words alone, so documents that share ``span`` + ``length`` - 1 words, anywhere in them, share a whole
+paragraph of ``length`` words. There are two kinds. ``SHORT`` ones are compared as they are: two
+documents that share 50 words share one. ``LONG`` ones are compared by similarity, since a changed word in the
+middle of 50 leaves a similarity of 0.8: equal ones are collapsed, the others are banded, those that
+collide are joined and verified by exact Jaccard similarity, and links are clustered. A document
+without a long paragraph is one paragraph as a whole.
+
+All paragraphs of a cluster but the first are removals. Paragraphs of a document that match one other
+document at one distance are a run, and a run grows word by word, on both sides, while the two texts
+agree, or loses the words at its ends that don't: what is removed is the whole shared passage, not the
+paragraphs that found it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontolith.llm import near
 from ontolith.llm import text as T
 from ontolith.plans.shared import discard, written
 
-SPAN, LENGTH, LONG = 26, 25, 50
-BANDS, ROWS = 6, 2
+SPAN, SHORT = 26, 25
+LONG_SPAN, LONG = 51, 50
+#: Bands of so many values find 99.4 % of the pairs of long paragraphs at a similarity of 0.8, and more above it.
+BANDS, ROWS = 5, 2
 SIMILAR = 0.8
-PLACE_BITS = 21
+#: Words on either side of a run that can be shared without a paragraph of their own.
+AROUND = SPAN + SHORT
+#: Words at one end of a long paragraph that can differ at a similarity of 0.8.
+EDGE = 5
 _U = np.uint64
+_A = _U(0x9E3779B97F4A7C15)
+_KEYS = [f"k{b}" for b in range(BANDS)]
+_UNITS = "doc_id long, word int, size int, banded boolean, digest long, also int, " + ", ".join(f"{k} long" for k in _KEYS)
+
 
+def run_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, by doubling; fewer words give none."""
+    if len(words) < width:
+        return np.zeros(0, _U)
+    doubled, size, at = T.mixed(words + _U(seed)), 1, 0
+    out = np.full(len(words) - width + 1, _U(width * seed))
+    while True:
+        if width & size:
+            out = T.mixed(out * _A + doubled[at : at + len(out)])
+            at += size
+        if 2 * size > width:
+            return out
+        doubled = T.mixed(doubled[:-size] * _A + doubled[size:])
+        size *= 2
 
-def anchors(words: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Positions of the winnowed words: the last least hash of each run of ``span`` words that has room."""
+
+def anchors(words: np.ndarray, of: np.ndarray, span: int) -> np.ndarray:
+    """Positions of the winnowed words: of each run of ``span`` words of one text the last with the least hash."""
     if len(words) < span:
         return np.zeros(0, np.int64)
-    h = T.mixed(words[:-1] * _U(0x9E3779B97F4A7C15) ^ words[1:]) if len(words) > 1 else words
-    h = np.append(h, T.mixed(words[-1:])) if len(words) > 1 else h
+    h = T.mixed(words * _A)
+    h[:-1] = np.where(of[:-1] == of[1:], T.mixed(words[:-1] * _A ^ words[1:]), h[:-1])
     runs = np.lib.stride_tricks.sliding_window_view(h[::-1], span)[::-1]
-    return np.unique(np.arange(len(runs)) + span - 1 - runs.argmin(axis=1))
+    least = np.arange(len(runs)) + span - 1 - runs.argmin(axis=1)
+    return np.unique(least[of[: len(runs)] == of[span - 1 :]])
 
 
-def paragraphs(words: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the paragraphs of ``length`` words, and the hashes of their shingles, a row for each."""
-    at = anchors(words)
-    at = at[at + length <= len(words)]
-    shingles = T.shingle_hashes(words)
-    return at, shingles[at[:, None] + np.arange(length - T.SHINGLE + 1)] if len(at) else np.zeros((0, length - T.SHINGLE + 1), _U)
+def _least(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The least of ``width`` values from each place on."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    return np.minimum(values[at], values[at + width - size])
 
 
-def _keys(rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The keys of each paragraph, an array for each band, and a digest of all its shingles in order."""
-    keys, all_of = [], np.full(len(rows), 2, _U)
+def bands(shingles: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """The band keys of the sets of ``width`` shingles from each place on, an array for each band."""
+    keys = []
     for band in range(BANDS):
-        key = np.full(len(rows), band + 1, _U)
+        key = np.full(len(at), band + 1, _U)
         for r in range(band * ROWS, band * ROWS + ROWS):
             seed = _U((r + 1) * 0xD6E8FEB86659FD93 % 2**64)
-            key = T.mixed(key * _U(0x9E3779B97F4A7C15) ^ T.mixed(rows ^ seed).min(axis=1))
+            key = T.mixed(key * _A ^ _least(T.mixed(shingles ^ seed), at, width))
         keys.append(key.view(np.int64))
-    for j in range(rows.shape[1]):
-        all_of = all_of * _U(0xC4CEB9FE1A85EC53) + T.mixed(rows[:, j] + _U(j))
-    return keys, T.mixed(all_of).view(np.int64)
+    return keys
+
+
+def _unit(doc_id: np.ndarray, word: np.ndarray, size: int, digest: np.ndarray, also: np.ndarray, keys: list[np.ndarray] | None) -> pd.DataFrame:
+    n = len(word)
+    cols = {"doc_id": doc_id, "word": word.astype(np.int32), "size": np.full(n, size, np.int32), "banded": np.full(n, keys is not None)}
+    cols |= {"digest": digest.view(np.int64), "also": (also >> _U(32)).astype(np.uint32).view(np.int32)}
+    return pd.DataFrame(cols | dict(zip(_KEYS, keys or [np.zeros(n, np.int64)] * BANDS, strict=True)))
+
+
+def paragraphs(ids: np.ndarray, texts: list[str]) -> Iterator[pd.DataFrame]:
+    """The paragraphs of texts; see ``_UNITS``."""
+    each = [T.word_hashes(t) for t in texts]
+    size = np.array([len(w) for w in each])
+    words, of = np.concatenate([*each, np.zeros(0, _U)]), np.repeat(np.arange(len(each)), size)
+    begins = np.concatenate([[0], np.cumsum(size)])
+    long = np.zeros(len(each), bool)
+    for span, length, banded in ((SPAN, SHORT, False), (LONG_SPAN, LONG, True)):
+        at = anchors(words, of, span)
+        at = at[at + length <= begins[of[at] + 1]]
+        if not len(at):
+            continue
+        doc = of[at]
+        keys = bands(T.shingle_hashes(words), at, length - T.SHINGLE + 1) if banded else None
+        if banded:
+            long[doc] = True
+        yield _unit(ids[doc], at - begins[doc], length, run_hashes(words, length)[at], run_hashes(words, length, 7)[at], keys)
+    for i in np.flatnonzero(~long & (size > 0)):
+        shingles, w = T.shingle_hashes(each[i]), each[i]
+        keys = bands(shingles, np.zeros(1, np.int64), len(shingles))
+        yield _unit(ids[i : i + 1], np.zeros(1, np.int64), len(w), run_hashes(w, len(w)), run_hashes(w, len(w), 7), keys)
 
 
-_KEYS = [f"key{b}" for b in range(BANDS)]
+def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids, texts = batch["doc_id"].to_numpy(), batch["text"].to_list()
+        held, cut = 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held > 2_000_000 or i == len(texts) - 1:
+                if frames := list(paragraphs(ids[cut : i + 1], texts[cut : i + 1])):
+                    yield pd.concat(frames)
+                held, cut = 0, i + 1
+
 
+def _spans(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    return raw, *T.word_spans(np.frombuffer(raw, np.uint8))
 
-def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole texts and (word, size) of the paragraphs wanted of them -> doc_id, word, text."""
     for batch in batches:
-        out, held = [], 0
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            words = T.word_hashes(text or "")
-            for length in (LENGTH, LONG):
-                at, rows = paragraphs(words, length)
-                for cut in range(0, len(at), 4096):
-                    keys, digest = _keys(rows[cut : cut + 4096])
-                    ids = (int(doc_id) << PLACE_BITS) + at[cut : cut + 4096]
-                    out.append((*keys, digest, ids, np.full(len(ids), length, np.int32)))
-                    held += len(ids)
-                    if held > 50_000:
-                        yield _frame(out)
-                        out, held = [], 0
-        if held:
-            yield _frame(out)
-
-
-def _frame(pieces: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(dict(zip([*_KEYS, "digest", "id", "length"], map(np.concatenate, zip(*pieces, strict=True)), strict=True)))
-
-
-def _cut(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Whole texts and the places wanted of them -> the paragraphs of ``length`` words there."""
+        out: list[tuple] = []
+        for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
+            raw, begin, end = _spans(text)
+            for x in wanted:
+                w, n = int(x["word"]), int(x["size"])
+                out.append((doc_id, w, raw[begin[w] : end[w + n - 1]].decode("utf-8", "surrogatepass")))
+                if len(out) >= 4096:
+                    yield pd.DataFrame(out, columns=["doc_id", "word", "text"])
+                    out = []
+        yield pd.DataFrame(out, columns=["doc_id", "word", "text"]).astype({"doc_id": "int64", "word": "int32"})
+
+
+def _around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole texts and places wanted of them -> the words before and after each place, the nearest first."""
     for batch in batches:
-        ids, out = [], []
-        for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
-            raw = (text or "").lower().encode("utf-8", "surrogatepass")
-            begin, end = T.word_spans(np.frombuffer(raw, np.uint8))
-            for p in places:
-                ids.append((int(doc_id) << PLACE_BITS) + int(p))
-                out.append(raw[begin[p] : end[p + length - 1]].decode("utf-8", "surrogatepass"))
-            if len(ids) >= 4096:
-                yield pd.DataFrame({"id": np.array(ids, np.int64), "text": out})
-                ids, out = [], []
-        yield pd.DataFrame({"id": np.array(ids, np.int64), "text": out})
-
-
-def _clustered(docs: DataFrame, units: DataFrame, length: int, least: float) -> DataFrame:
-    """The paragraphs of ``length`` words that repeat, exactly or nearly: doc_id, word, size, kept, component."""
-    units = units.where(F.col("length") == length)
-    least_of = [F.min(k).alias(k) for k in _KEYS[1:]]  # one value each
-    sets = written(units.groupBy("digest", "key0").agg(*least_of, F.min("id").alias("id"), F.count("*").alias("n")), "paragraphs")
+        out: list[tuple] = []
+        for doc_id, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
+            w = (T.word_hashes(text) >> _U(32)).astype(np.uint32).view(np.int32)
+            for p in map(int, wanted):
+                out.append((doc_id, p, w[max(0, p - AROUND) : p][::-1], w[p : p + AROUND]))
+                if len(out) >= 4096:
+                    yield pd.DataFrame(out, columns=["doc", "at", "before", "after"])
+                    out = []
+        yield pd.DataFrame(out, columns=["doc", "at", "before", "after"]).astype({"doc": "int64", "at": "int32"})
+
+
+def _agree(a: str, b: str) -> Column:
+    """How many words two arrays have in common from their beginnings on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+
+
+def _beyond(a: str, b: str) -> Column:
+    """How many words on the inner side of a run's edge differ before the first that agrees, if that is near."""
+    first = F.array_position(F.zip_with(F.slice(a, 1, EDGE + 1), F.slice(b, 1, EDGE + 1), lambda x, y: F.coalesce(x == y, F.lit(False))), True)
+    return F.when(first > 0, first - 1).otherwise(0).cast("int")
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """Whether two places are in different documents or don't overlap."""
+    return (a["doc_id"] != b["doc_id"]) | (F.abs(a["word"] - b["word"]) >= LONG)
+
+
+def _alike(docs: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """The banded paragraphs that repeat, exactly or nearly, with the first of their cluster."""
+    units = units.where("banded")
+    place = F.struct("doc_id", "word")
+    sets = units.groupBy("digest", "also", "size").agg(F.min(place).alias("id"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in _KEYS])
+    sets = written(sets, "paragraphs")
 
     def fetch(used: DataFrame) -> DataFrame:
-        of = F.shiftrightunsigned("id", PLACE_BITS).alias("doc_id")
-        wanted = used.groupBy(of).agg(F.collect_set((F.col("id") % (1 << PLACE_BITS)).cast("int")).alias("places"))
-        return docs.hint("merge").join(wanted, "doc_id").mapInPandas(partial(_cut, length=length), "id long, text string")
+        wanted = used.join(sets.select("id", "size"), "id").groupBy(F.col("id.doc_id").alias("doc_id"))
+        wanted = wanted.agg(F.collect_list(F.struct("id.word", "size")).alias("wanted"))
+        cut = docs.hint("merge").join(wanted, "doc_id").mapInPandas(_cut, "doc_id long, word int, text string")
+        return cut.select(place.alias("id"), "text")
 
-    at, links = near.classes(sets.select(F.explode(F.array(*_KEYS)).alias("key"), "id"), fetch, None, 0, least, gap=length)
+    at, links = near.classes(sets.select(F.explode(F.array(*_KEYS)).alias("key"), "id"), fetch, least, _apart)
     shared = sets.join(at.withColumnRenamed("v", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
-    shared = written(shared.select("digest", F.col("key0").alias("_key"), F.coalesce("component", "id").alias("component")), "shared")
-    at_all = units.hint("merge").join(shared, "digest").where(F.col("key0") == F.col("_key")).select(F.col("id").alias("v"), "component")
-    doc, word = F.shiftrightunsigned("v", PLACE_BITS), F.col("v") % (1 << PLACE_BITS)
-    kept = F.col("v") < F.col("component") + length
-    spans = written(at_all.select(doc.alias("doc_id"), word.alias("word"), F.lit(length).alias("size"), kept.alias("kept"), "component"), "spans")
-    discard(sets, shared, links, at)
-    return spans
+    shared = shared.select("digest", "also", "size", F.coalesce("component", "id").alias("rep"))
+    found = written(units.hint("merge").join(shared, ["digest", "also", "size"]).select("doc_id", "word", "size", "rep"), "alike")
+    discard(sets, links, at)
+    return found
+
+
+def _equal(units: DataFrame) -> DataFrame:
+    """The short paragraphs that repeat exactly, with the first of them."""
+    units = units.where("NOT banded").select("digest", "also", "doc_id", "word", "size")
+    first = units.groupBy("digest", "also").agg(F.min(F.struct("doc_id", "word")).alias("rep"), F.count("*").alias("n"))
+    return units.join(first.where("n > 1").drop("n"), ["digest", "also"]).select("doc_id", "word", "size", "rep")
+
+
+def _runs(rows: DataFrame, by: list[str], gap: int, *more: Column) -> DataFrame:
+    """Rows (first, end) merged where they overlap or lie up to ``gap`` words apart."""
+    order = Window.partitionBy(*by).orderBy("first", "end")
+    so_far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("first") > so_far + gap).cast("int"), F.lit(1))
+    rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
+    return rows.groupBy(*by, "run").agg(F.min("first").alias("first"), F.max("end").alias("end"), *more).drop("run")
 
 
 def repeated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(doc_id, text) -> doc_id, first_word, n_words, kept, class_doc, class_word.
 
-    One row for each maximal run of overlapping repeated paragraphs of a document that belong to
-    clusters, separately for those that go and for those that stay (the first of their cluster, by
-    doc_id and position, and what overlaps it: ``kept``). Overlapping paragraphs are never compared. Words are counted from 0 (see ``text``); class_doc and class_word
-    name the first paragraph of the run's first cluster. Documents of fewer than 50 words, and null
-    texts, have no paragraph. A null doc_id has no row. Rows that share a doc_id are one document with
-    its least text. Doc_ids must be from 0 to 2^42 - 1 and texts have up to 2^21 words; others raise.
+    One row for each maximal stretch of a document that repeats passages of earlier places (by doc_id,
+    then position), and, with ``kept``, one for each stretch that they repeat. Words are counted from 0
+    (see ``text``). class_doc and class_word name the place that the stretch's first passage repeats; a kept
+    stretch names itself. A kept stretch may repeat an earlier one in turn, and then has rows of both
+    kinds. Paragraphs of one document that overlap are never compared.
+
+    Null texts, those without a word, and null doc_ids have no row. Rows that share a doc_id are one
+    document with its least text. Doc_ids are any 64-bit integers, and texts of any length are read
+    whole. Empty tables give no rows. Other columns are ignored.
     """
     near.bound_batches(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fit = (F.col("doc_id") >= 0) & (F.col("doc_id") < 1 << 63 - PLACE_BITS)
-    docs = docs.withColumn("doc_id", F.when(fit, F.col("doc_id")).otherwise(F.raise_error(F.lit("doc_id must be from 0 to 2^42 - 1"))))
     torn = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if torn:
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    columns = ", ".join(f"{k} long" for k in [*_KEYS, "digest", "id"])
-    units = written(docs.mapInPandas(_banded, f"{columns}, length int"), "units")
-    found = [_clustered(docs, units, length, least) for length in (LENGTH, LONG)]
-    spans = found[0].union(found[1]).withColumn("end", F.col("word") + F.col("size"))
-    order = Window.partitionBy("doc_id", "kept").orderBy("word", "size")
-    so_far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("word") > so_far).cast("int"), F.lit(1))
-    runs = spans.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order)).groupBy("doc_id", "kept", "run")
-    runs = runs.agg(F.min("word").alias("first_word"), F.max("end").alias("end"), F.min_by("component", F.struct("word", "size")).alias("of"))
-    out = runs.select("doc_id", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "kept", F.shiftrightunsigned("of", PLACE_BITS).alias("class_doc"), (F.col("of") % (1 << PLACE_BITS)).alias("class_word"))
+    units = written(docs.mapInPandas(_paragraphs, _UNITS), "units")
+    alike = _alike(docs, units, least)
+    again = alike.unionByName(_equal(units)).select("doc_id", "word", "size", F.col("rep.doc_id").alias("rdoc"), F.col("rep.word").alias("rword"))
+    later = (F.col("doc_id") != F.col("rdoc")) | (F.col("word") >= F.col("rword") + F.col("size"))
+    again = again.where(later).select("doc_id", "rdoc", (F.col("word") - F.col("rword")).alias("shift"), F.col("word").alias("first"), (F.col("word") + F.col("size")).alias("end"))
+    runs = written(_runs(again, ["doc_id", "rdoc", "shift"], SPAN), "runs")
+    mine, theirs = [(F.col("doc_id"), F.col(c)) for c in ("first", "end")], [(F.col("rdoc"), F.col(c) - F.col("shift")) for c in ("first", "end")]
+    wanted = runs.select(F.explode(F.array(*[F.struct(d.alias("doc_id"), p.alias("at")) for d, p in (*mine, *theirs)])).alias("x")).select("x.*")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_set("at").alias("wanted"))
+    around = docs.hint("merge").join(wanted, "doc_id").mapInPandas(_around, "doc long, at int, before array<int>, after array<int>")
+    around = written(around, "around")
+    for out_of, into, edge in (("before", "after", "first"), ("after", "before", "end")):
+        one, two = (around.select(F.col("doc").alias(f"d{k}"), F.col("at").alias(f"p{k}"), F.col(out_of).alias(f"o{k}"), F.col(into).alias(f"i{k}")) for k in (1, 2))
+        runs = runs.join(one, (F.col("doc_id") == F.col("d1")) & (F.col(edge) == F.col("p1")))
+        runs = runs.join(two, (F.col("rdoc") == F.col("d2")) & (F.col(edge) - F.col("shift") == F.col("p2")))
+        more = _agree("o1", "o2")
+        runs = runs.withColumn(f"{edge}_n", F.when(more > 0, more).otherwise(-_beyond("i1", "i2"))).drop(*[f"{c}{k}" for c in "dpoi" for k in (1, 2)])
+    grown = runs.select("doc_id", "rdoc", "shift", (F.col("first") - F.col("first_n")).alias("first"), (F.col("end") + F.col("end_n")).alias("end"))
+    grown = written(grown, "grown")
+    of = F.min_by(F.struct("rdoc", (F.col("first") - F.col("shift")).alias("rword")), F.struct("first", "end")).alias("of")
+    gone = _runs(grown, ["doc_id"], 0, of).select("doc_id", "first", "end", F.lit(False).alias("kept"), "of.rdoc", "of.rword")
+    stay = grown.select(F.col("rdoc").alias("doc_id"), (F.col("first") - F.col("shift")).alias("first"), (F.col("end") - F.col("shift")).alias("end")).distinct()
+    stay = _runs(stay, ["doc_id"], 0).select("doc_id", "first", "end", F.lit(True).alias("kept"), F.col("doc_id").alias("rdoc"), F.col("first").alias("rword"))
+    out = gone.unionByName(stay).select("doc_id", F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_words"), "kept", F.col("rdoc").alias("class_doc"), F.col("rword").alias("class_word"))
     out = written(out, "passages")
-    discard(units, *found)
+    discard(units, alike, runs, around, grown)
     return out
