@@ -1,14 +1,18 @@
-"""Stupid-backoff language-model scores, from n-gram counts over all documents.
-
-The corpus is dealt into chunks by document, and n-gram hashes into parts by their leading bits. Each
-chunk asks each part for the n-grams that it has, once however often it has them, with its own counts;
-a part adds up the counts of all chunks and answers every chunk in the order of its question. So the
-count tables lie partitioned by hash, the join is by (part, n-gram), and its answer is summed for each
-document where the document is. Questions and answers are packed: some seven bytes for an n-gram.
+"""Stupid-backoff language-model scores, from n-gram counts over all documents, computed relationally.
+
+A document is scored by the counts of all other documents: those of all, less its own. Texts are dealt to
+chunks. For each order, the distinct n-grams of each chunk are rows (chunk, n-gram, occurrences,
+documents); they are partitioned by the n-gram's hash once, summed to the count table, and joined to it.
+An n-gram is one row a chunk at most, so that even the most frequent one has no more rows than there are
+chunks. What only one document has is unseen elsewhere and needs no answer. The answers go back to
+their chunk, where each document's positions look them up, fold the backoff, and are summed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,141 +20,156 @@ from pyspark.sql import functions as F
 
 from ontolith.llm import text as T
 from ontolith.llm.near import bound_batches
-from ontolith.plans.shared import written
+from ontolith.llm.rows import copies
+from ontolith.plans.shared import discard, written
 
 ALPHA = 0.4
-#: Bigrams of fewer occurrences are treated as unseen.
-LEAST = 2
-CHUNK_BYTES, PART_BYTES = 4 << 20, 16 << 20
+#: The longest n-grams.
+ORDER = 3
+CHUNK_BYTES = 16 << 20
 _U = np.uint64
-_ASKED = "chunk long, part long, grams binary, counts binary"
 #: A word, in lower-cased text; as in ``text``.
 WORD = r"[^\x00-\x2f\x3a-\x5e\x60\x7b-\x7f]+"
-_SCORED = "doc_id long, words long, backoffs long, score_micro long"
-
+_SCORED = "doc_id long, weight long, words long, backoffs long, score_micro long"
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned integers by as many low bytes as the largest needs, after a byte that tells how many."""
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
+def grams(words: np.ndarray, order: int) -> np.ndarray:
+    """The hash of the n-gram that each word ends, whatever lies before it; see ``ends``."""
+    out = T.mixed(words ^ _U(order * 0xD6E8FEB86659FD93 % 2**64))
+    for k in range(1, order):
+        before = np.concatenate([np.zeros(min(k, len(words)), _U), words[: max(0, len(words) - k)]])
+        out = T.mixed(out * _U(0x9E3779B97F4A7C15) ^ before)
+    return out
 
-def unpack(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    out = np.zeros((len(raw[1:]) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8, offset=1).reshape(-1, width)
-    return out.reshape(-1).view("<u8")
 
+def ends(of: np.ndarray, order: int) -> np.ndarray:
+    """Whether a word has ``order`` - 1 words of its text before it."""
+    out = np.zeros(len(of), bool)
+    out[order - 1 :] = of[order - 1 :] == of[: len(of) - order + 1]
+    return out
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words in order: the word's hash as an n-gram, the bigram's that it ends, and the text's number.
 
-    The first word of a text ends no bigram: 0 stands there.
-    """
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed words of all texts in order, and the numbers of their texts."""
     words = [T.word_hashes(t or "") for t in texts]
-    size = [len(w) for w in words]
-    w = np.concatenate([*words, np.zeros(0, _U)])
-    of = np.repeat(np.arange(len(texts)), size)
-    two = np.zeros(len(w), _U)
-    if len(w):
-        two[1:] = T.mixed(w[:-1] * _U(0x9E3779B97F4A7C15) ^ T.mixed(w[1:])) | _U(1)
-        two[1:][of[1:] != of[:-1]] = 0
-        two[0] = 0
-    return T.mixed(w ^ _U(0xD6E8FEB86659FD93)) & ~_U(1), two, of
-
-
-def _shared(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a chunk, sorted, and how often it has each."""
-    return np.unique(np.concatenate([one, two[two != 0]]), return_counts=True)
-
-
-def _parts(sorted_grams: np.ndarray, bits: int) -> np.ndarray:
-    """Where each part begins in sorted n-grams, and the end."""
-    edges = (np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)) if bits else np.zeros(0, _U)
-    return np.concatenate([[0], np.searchsorted(sorted_grams, edges), [len(sorted_grams)]])
-
-
-def _asking(bits: int):  # noqa: ANN202
-    def ask(group: pd.DataFrame) -> pd.DataFrame:
-        one, two, _ = grams(list(group["text"]))
-        have, n = _shared(one, two)
-        cut, rows = _parts(have, bits), []
-        for p in range(1 << bits):
-            g = have[cut[p] : cut[p + 1]]
-            if len(g):
-                rows.append((group["chunk"].iloc[0], p, pack(np.diff(g, prepend=_U(0))[:1]) + pack(np.diff(g)), pack(n[cut[p] : cut[p + 1]])))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in _ASKED.split(", ")])
-
-    return ask
-
-
-def _opened(raw: bytes) -> np.ndarray:
-    """The sorted n-grams of a question: the first, then differences."""
-    first = 1 + raw[0]
-    return np.cumsum(np.concatenate([unpack(raw[:first]), unpack(raw[first:])]), dtype=_U)
-
-
-def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    asked, counts = [_opened(g) for g in group["grams"]], [unpack(c) for c in group["counts"]]
-    _, at = np.unique(np.concatenate(asked), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts)).astype(_U)[at]
-    cut = np.cumsum([len(a) for a in asked])[:-1]
-    return pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "totals": [pack(t) for t in np.split(total, cut)]})
-
-
-def _scoring(n: int, alpha: float, least: int):  # noqa: ANN202
+    return np.concatenate([*words, np.zeros(0, _U)]), np.repeat(np.arange(len(texts)), [len(w) for w in words])
+
+
+def _own(gram: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of n-grams in texts: how often its text has each, and whether it is the first of them."""
+    at = np.lexsort((gram, of))
+    g, o = gram[at], of[at]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
+    begins = np.flatnonzero(new)
+    n, first = np.empty(len(g), np.int64), np.empty(len(g), bool)
+    size = np.diff(np.append(begins, len(g)))
+    n[at], first[at] = np.repeat(size, size), new
+    return n, first
+
+
+def _occurring(order: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def occurring(group: pd.DataFrame) -> pd.DataFrame:
+        """The distinct n-grams of a chunk: how often they occur, and in how many documents."""
+        words, of = _words(list(group["text"]))
+        keep, weight = ends(of, order), group["weight"].to_numpy()
+        gram, of = grams(words, order)[keep], of[keep]
+        n, first = _own(gram, of)
+        gram, of, n = gram[first], of[first], n[first]
+        names, at = np.unique(gram, return_inverse=True)
+        occurs = np.bincount(at, n * weight[of], len(names)).astype(np.int64)
+        docs = np.bincount(at, weight[of], len(names)).astype(np.int64)
+        return pd.DataFrame({"chunk": np.full(len(names), group["chunk"].iloc[0] if len(group) else 0), "gram": names.view(np.int64), "occurs": occurs, "docs": docs})
+
+    return occurring
+
+
+def _scoring(total: int, alpha: float, order: int):  # noqa: ANN202
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        one, two, of = grams(list(docs["text"]))
-        have, _ = _shared(one, two)
-        answers = answers.sort_values("part")
-        total = np.concatenate([*[unpack(t) for t in answers["totals"]], np.zeros(0, _U)]).astype(np.float64)
-        uni = total[np.searchsorted(have, one)] if len(one) else np.zeros(0)
-        bi = np.where(two != 0, total[np.minimum(np.searchsorted(have, two), len(have) - 1)], 0.0) if len(two) else np.zeros(0)
-        begins = np.zeros(len(one), bool)
-        begins[np.flatnonzero(np.diff(of, prepend=-1))] = True
-        seen = ~begins & (bi >= least)
-        before = np.concatenate([[1.0], uni[:-1]]) if len(uni) else uni
-        value = np.where(seen, bi / before, np.where(begins, uni / n, alpha * uni / n))
+        words, of = _words(list(docs["text"]))
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        size = np.bincount(of, minlength=len(docs))
+        known, n_of = answers["gram"].to_numpy(np.int64), answers["n"].to_numpy(np.int64)
+        by = np.argsort(known)
+        known, n_of = known[by], n_of[by]
+        value, used, before = np.zeros(len(words)), np.zeros(len(words), np.int64), None
+        most = np.minimum(place + 1, order)
+        for k in range(1, order + 1):
+            gram, keep = grams(words, k).view(np.int64), ends(of, k)
+            own = np.zeros(len(gram), np.int64)
+            own[keep], _ = _own(gram[keep], of[keep])
+            at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+            n = np.where(known[at] == gram, n_of[at] - own, 0) if len(known) else np.zeros(len(gram), np.int64)
+            if k == 1:
+                value, used = alpha ** (most - 1.0) * np.maximum(n, 1) / np.maximum(total - size[of], 1), np.ones(len(words), np.int64)
+            else:
+                seen = keep & (n > 0)
+                context = np.concatenate([np.ones(1, np.int64), before[:-1]])
+                value = np.where(seen, alpha ** (most - float(k)) * n / np.maximum(context, 1), value)
+                used = np.where(seen, k, used)
+            before = n
         micro = np.rint(1e6 * np.log(value)) if len(value) else value
-        k = len(docs)
-        cols = {"words": np.bincount(of, minlength=k), "backoffs": np.bincount(of, ~seen & ~begins, k), "score_micro": np.bincount(of, micro, k)}
-        return pd.DataFrame({"doc_id": pd.array([None if i is None else int(i) for i in docs["doc_id"]], "Int64")} | {c: np.rint(v).astype(np.int64) for c, v in cols.items()})
+        ids = pd.array([None if i is None else int(i) for i in docs["doc_id"]], "Int64")
+        sums = {"words": size, "backoffs": np.bincount(of, used < most, len(docs)), "score_micro": np.bincount(of, micro, len(docs))}
+        return pd.DataFrame({"doc_id": ids, "weight": docs["weight"].to_numpy()} | {c: np.rint(v).astype(np.int64) for c, v in sums.items()})
 
     return score
 
 
-def scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+def scores(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, text) -> doc_id, words, backoffs, score_micro, log_score: one row per row of ``docs``.
 
-    A word (see ``text``) scores count(bigram) / count(word before) if its bigram occurs ``least`` times
-    or more in all documents, else ``alpha`` count(word) / all words (a backoff); the first word of a
-    text count(word) / all words. score_micro adds the natural logarithms in whole millionths, so that no
-    order of addition changes it; log_score is the same in units. Null and empty texts have 0 words and
-    score 0. Rows that repeat a doc_id or a text are rows of their own, and count. Null ids stay null.
+    A word (see ``text``) is scored after the up to ``order`` - 1 words of its text before it: by
+    count(n-gram) / count(n-gram without the word) if another document has the n-gram, else ``alpha``
+    times its score after one word less, and in the end by count(word) / all words. Counts are those of
+    all other rows; a word that none of them has counts once. backoffs is the number of words that weren't
+    scored by their longest n-gram. score_micro adds the natural logarithms in whole millionths, so that
+    no order of addition changes it; log_score is the same in units. Null and empty texts have 0 words and
+    score 0. Rows that repeat a doc_id or a text are rows of their own, and count. Null ids stay null. An
+    empty table gives an empty result. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")  # pandas would make floats of nullable integers
+    same = docs.groupBy("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.count("*").alias("weight"))
+    several = not same.where("weight > 1").isEmpty()
+    if several:
+        docs = docs.groupBy("doc_id", "text").agg(F.count("*").alias("weight"))
+    else:
+        docs = docs.withColumn("weight", F.lit(1).cast("long"))
     counted = F.regexp_count(F.lower("text"), F.lit(WORD))
-    size, n = docs.agg(F.sum(F.octet_length("text")), F.sum(counted)).first()
-    size, n = size or 0, n or 0
-    chunks, bits = max(1, size // chunk_bytes), max(0, int(size // part_bytes).bit_length())
+    size, total = docs.agg(F.sum(F.octet_length("text")), F.sum(counted * F.col("weight"))).first()
+    chunks = max(1, (size or 0) // chunk_bytes)
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    # Both uses of ``dealt`` take all its columns by chunk, so that one shuffle of the texts serves both.
-    asked = dealt.groupBy("chunk").applyInPandas(_asking(bits), _ASKED)
-    answers = asked.groupBy("part").applyInPandas(_answer, "chunk long, part long, totals binary")
-    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_scoring(n, alpha, least), _SCORED)
-    return written(scored.withColumn("log_score", F.col("score_micro") / 1e6), "scores")
-
-
-#: The same rows in SQL.
+    answers = []
+    for k in range(1, order + 1):
+        rows = dealt.groupBy("chunk").applyInPandas(_occurring(k), "chunk long, gram long, occurs long, docs long").repartition("gram")
+        counts = rows.groupBy("gram").agg(F.sum("occurs").alias("n"), F.sum("docs").alias("in_docs")).where("in_docs > 1").drop("in_docs")
+        answers.append(written(rows.select("chunk", "gram").join(counts, "gram").select("chunk", "gram", "n"), f"counts{k}"))
+    every = reduce(DataFrame.unionByName, answers)
+    scored = dealt.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(_scoring(total or 0, alpha, order), _SCORED)
+    if several:
+        scored = copies(scored, F.col("weight"), "copy").drop("copy")
+    out = written(scored.drop("weight").withColumn("log_score", F.col("score_micro") / 1e6), "scores")
+    discard(*answers)
+    return out
+
+
+#: The same rows in SQL, for n-grams of up to three words.
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x5e\x60\x7b-\x7f]+') AS w FROM documents),
-t AS (SELECT r, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-u AS (SELECT b AS word, count(*) AS c FROM t GROUP BY b),
-p AS (SELECT a, b, count(*) AS c FROM t WHERE a IS NOT NULL GROUP BY a, b),
-s AS (SELECT t.r, t.a IS NOT NULL AND p.c < 2 AS back,
-             CASE WHEN t.a IS NULL THEN v.c::DOUBLE / n.n WHEN p.c >= 2 THEN p.c::DOUBLE / x.c ELSE 0.4::DOUBLE * v.c / n.n END AS value
-      FROM t JOIN u v ON t.b = v.word LEFT JOIN u x ON t.a = x.word LEFT JOIN p ON t.a = p.a AND t.b = p.b, (SELECT count(*)::DOUBLE AS n FROM t) n),
+t AS (SELECT r, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+n AS (SELECT r, i,
+             count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY r, c) AS n1,
+             count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY r, b, c) AS n2,
+             count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY r, a, b, c) AS n3,
+             count(*) OVER () - count(*) OVER (PARTITION BY r) AS m
+      FROM t),
+p AS (SELECT *, lag(n1) OVER (PARTITION BY r ORDER BY i) AS p1, lag(n2) OVER (PARTITION BY r ORDER BY i) AS p2 FROM n),
+s AS (SELECT r, NOT ((i > 2 AND n3 > 0) OR (i = 2 AND n2 > 0) OR i = 1) AS back,
+             CASE WHEN i > 2 AND n3 > 0 THEN n3::DOUBLE / p2
+                  WHEN i > 1 AND n2 > 0 THEN (CASE WHEN i > 2 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END) * n2 / p1
+                  ELSE pow(0.4::DOUBLE, least(i, 3) - 1) * greatest(n1, 1) / greatest(m, 1) END AS value
+      FROM p),
 g AS (SELECT r, count(*) AS words, count(*) FILTER (WHERE back) AS backoffs, sum(round(1e6::DOUBLE * ln(value))::BIGINT)::BIGINT AS m FROM s GROUP BY r)
 SELECT doc_id, coalesce(words, 0) AS words, coalesce(backoffs, 0) AS backoffs, coalesce(m, 0)::BIGINT AS score_micro, coalesce(m, 0) / 1e6::DOUBLE AS log_score
 FROM d LEFT JOIN g USING (r)

@@ -126,7 +126,8 @@ def classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], least: flo
     told = verified(first, texts)
     links = told.where(F.col("sim") >= least)
     at = components(links)
-    known = entries.select("key", "id").join(at.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # All members have met the head; only the others can still lack a link between them.
+    known = entries.where("id <> head").select("key", "id").join(at.withColumnRenamed("v", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_ids = written(known.join(mixed, "key").select("id", "component").distinct(), "unsettled")
     more = None
