@@ -4,7 +4,8 @@ A document is scored by the counts of all other documents: those of all, less it
 chunks. For each order, the distinct n-grams of each chunk are rows (chunk, n-gram, occurrences,
 documents); they are partitioned by the n-gram's hash once, summed to the count table, and joined to it.
 An n-gram is one row a chunk at most, so that even the most frequent one has no more rows than there are
-chunks. What only one document has is unseen elsewhere and needs no answer. The answers go back to
+chunks. What only one document has is unseen elsewhere and needs no answer, and an n-gram is only asked
+for if its first and its last words are known to occur together elsewhere. The answers go back to
 their chunk, where each document's positions look them up, fold the backoff, and are summed.
 """
 
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from ontolith.llm import text as T
 from ontolith.llm.near import bound_batches
 from ontolith.llm.rows import copies
-from ontolith.plans.shared import discard, written
+from ontolith.plans.shared import discard, release, written
 
 ALPHA = 0.4
 #: The longest n-grams.
 ORDER = 3
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 _U = np.uint64
 #: A word, in lower-cased text; as in ``text``.
 WORD = r"[^\x00-\x2f\x3a-\x5e\x60\x7b-\x7f]+"
@@ -55,31 +56,48 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*words, np.zeros(0, _U)]), np.repeat(np.arange(len(texts)), [len(w) for w in words])
 
 
-def _own(gram: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of n-grams in texts: how often its text has each, and whether it is the first of them."""
-    at = np.lexsort((gram, of))
+def _sorted(gram: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by n-gram, then text; where n-grams begin in it, and where the n-grams of a text do."""
+    at = np.argsort(gram, kind="stable")
     g, o = gram[at], of[at]
     new = np.ones(len(g), bool)
-    new[1:] = (g[1:] != g[:-1]) | (o[1:] != o[:-1])
-    begins = np.flatnonzero(new)
-    n, first = np.empty(len(g), np.int64), np.empty(len(g), bool)
-    size = np.diff(np.append(begins, len(g)))
-    n[at], first[at] = np.repeat(size, size), new
-    return n, first
+    new[1:] = g[1:] != g[:-1]
+    each = new.copy()
+    each[1:] |= o[1:] != o[:-1]
+    return at, np.flatnonzero(new), np.flatnonzero(each)
+
+
+def _among(gram: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-grams among sorted known ones: their places there, and whether they are."""
+    at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
+    return at, known[at] == gram if len(known) else np.zeros(len(gram), bool)
+
+
+def _elsewhere(words: np.ndarray, of: np.ndarray, order: int, known: np.ndarray) -> np.ndarray:
+    """Which positions end an n-gram whose first and last ``order`` - 1 words are both among the sorted known ones."""
+    part = grams(words, order - 1).view(np.int64)
+    at = np.argsort(part)
+    seen = np.zeros(len(words), bool)
+    seen[at] = _among(part[at], known)[1]
+    out = ends(of, order)
+    out[1:] &= seen[1:] & seen[:-1]
+    return out
 
 
-def _occurring(order: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def occurring(group: pd.DataFrame) -> pd.DataFrame:
+def _occurring(order: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def occurring(group: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         """The distinct n-grams of a chunk: how often they occur, and in how many documents."""
         words, of = _words(list(group["text"]))
-        keep, weight = ends(of, order), group["weight"].to_numpy()
-        gram, of = grams(words, order)[keep], of[keep]
-        n, first = _own(gram, of)
-        gram, of, n = gram[first], of[first], n[first]
-        names, at = np.unique(gram, return_inverse=True)
-        occurs = np.bincount(at, n * weight[of], len(names)).astype(np.int64)
-        docs = np.bincount(at, weight[of], len(names)).astype(np.int64)
-        return pd.DataFrame({"chunk": np.full(len(names), group["chunk"].iloc[0] if len(group) else 0), "gram": names.view(np.int64), "occurs": occurs, "docs": docs})
+        keep = ends(of, order) if order == 1 else _elsewhere(words, of, order, np.sort(answers["gram"].to_numpy(np.int64)))
+        gram, of, weight = grams(words, order).view(np.int64)[keep], of[keep], group["weight"].to_numpy(np.int64)
+        at, new, each = _sorted(gram, of)
+        w = weight[of[at]]
+        occurs = np.add.reduceat(w, new) if len(new) else w
+        first = np.zeros(len(w), np.int64)
+        first[each] = w[each]
+        docs = np.add.reduceat(first, new) if len(new) else first
+        chunk = np.full(len(new), group["chunk"].iloc[0] if len(group) else 0)
+        return pd.DataFrame({"chunk": chunk, "gram": gram[at[new]], "occurs": occurs, "docs": docs})
 
     return occurring
 
@@ -95,18 +113,21 @@ def _scoring(total: int, alpha: float, order: int):  # noqa: ANN202
         value, used, before = np.zeros(len(words)), np.zeros(len(words), np.int64), None
         most = np.minimum(place + 1, order)
         for k in range(1, order + 1):
-            gram, keep = grams(words, k).view(np.int64), ends(of, k)
-            own = np.zeros(len(gram), np.int64)
-            own[keep], _ = _own(gram[keep], of[keep])
-            at = np.minimum(np.searchsorted(known, gram), max(0, len(known) - 1))
-            n = np.where(known[at] == gram, n_of[at] - own, 0) if len(known) else np.zeros(len(gram), np.int64)
+            keep = ends(of, k)
+            gram = grams(words, k).view(np.int64)[keep]
+            at, _, each = _sorted(gram, of[keep])
+            own = np.repeat(np.diff(np.append(each, len(gram))), np.diff(np.append(each, len(gram))))
+            spot, here = _among(gram[at], known)
+            left = np.zeros(len(gram), np.int64)
+            left[at] = np.where(here, n_of[spot] - own, 0) if len(known) else 0
+            n = np.zeros(len(words), np.int64)
+            n[keep] = left
             if k == 1:
                 value, used = alpha ** (most - 1.0) * np.maximum(n, 1) / np.maximum(total - size[of], 1), np.ones(len(words), np.int64)
             else:
-                seen = keep & (n > 0)
                 context = np.concatenate([np.ones(1, np.int64), before[:-1]])
-                value = np.where(seen, alpha ** (most - float(k)) * n / np.maximum(context, 1), value)
-                used = np.where(seen, k, used)
+                value = np.where(n > 0, alpha ** (most - float(k)) * n / np.maximum(context, 1), value)
+                used = np.where(n > 0, k, used)
             before = n
         micro = np.rint(1e6 * np.log(value)) if len(value) else value
         ids = pd.array([None if i is None else int(i) for i in docs["doc_id"]], "Int64")
@@ -136,21 +157,28 @@ def scores(docs: DataFrame, alpha: float = ALPHA, order: int = ORDER, chunk_byte
         docs = docs.groupBy("doc_id", "text").agg(F.count("*").alias("weight"))
     else:
         docs = docs.withColumn("weight", F.lit(1).cast("long"))
-    counted = F.regexp_count(F.lower("text"), F.lit(WORD))
-    size, total = docs.agg(F.sum(F.octet_length("text")), F.sum(counted * F.col("weight"))).first()
-    chunks = max(1, (size or 0) // chunk_bytes)
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-    answers = []
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, size // chunk_bytes))))
+    answers, total = [dealt.sparkSession.createDataFrame([], "chunk long, gram long, n long")], 0
     for k in range(1, order + 1):
-        rows = dealt.groupBy("chunk").applyInPandas(_occurring(k), "chunk long, gram long, occurs long, docs long").repartition("gram")
-        counts = rows.groupBy("gram").agg(F.sum("occurs").alias("n"), F.sum("docs").alias("in_docs")).where("in_docs > 1").drop("in_docs")
-        answers.append(written(rows.select("chunk", "gram").join(counts, "gram").select("chunk", "gram", "n"), f"counts{k}"))
-    every = reduce(DataFrame.unionByName, answers)
-    scored = dealt.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(_scoring(total or 0, alpha, order), _SCORED)
+        rows = dealt.groupBy("chunk").cogroup(answers[-1].groupBy("chunk")).applyInPandas(_occurring(k), "chunk long, gram long, occurs long, docs long")
+        rows = rows.repartition("gram")
+        counts = rows.groupBy("gram").agg(F.sum("occurs").alias("n"), F.sum("docs").alias("in_docs"))
+        if k == 1:  # all rows are kept once, for the number of words
+            words = written(rows.drop("docs").join(counts, "gram"), "words")
+            total = words.agg(F.sum("occurs")).first()[0] or 0
+            answers.append(words.where("in_docs > 1").select("chunk", "gram", "n"))
+        else:
+            found = rows.select("chunk", "gram").join(counts.where("in_docs > 1"), "gram")
+            answers.append(written(found.select("chunk", "gram", "n"), f"counts{k}"))
+        release(dealt.sparkSession)
+    every = reduce(DataFrame.unionByName, answers[1:])
+    scored = dealt.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInPandas(_scoring(total, alpha, order), _SCORED)
     if several:
         scored = copies(scored, F.col("weight"), "copy").drop("copy")
     out = written(scored.drop("weight").withColumn("log_score", F.col("score_micro") / 1e6), "scores")
-    discard(*answers)
+    discard(words, *answers)
+    release(docs.sparkSession)
     return out
 
 
