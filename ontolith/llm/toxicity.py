@@ -18,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontolith.llm.near import bound_batches
+from ontolith.plans.shared import discard, written
 
 WORD = re.compile(r"\w+")
 OPENINGS = (4, 5, 6, 7)
 THRESHOLD = 0.3
-#: Labelled rows that the fit sees at most, whole texts; scoring has no such bound.
-FIT_ROWS = 6_000
+#: Labelled rows that the fit sees at most, and characters of their whole texts; scoring has no such bounds.
+FIT_ROWS, FIT_CHARS = 6_000, 48_000_000
+#: Weight of the counterfactual penalty.
+PENALTY = 20.0
 SCREEN = 2.5
 
 # Terms that name groups; terms of one line can stand for each other.
@@ -51,31 +54,32 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def counterfactuals(words: list[str], swap: dict[str, tuple[str, ...]]) -> list[list[str]]:
-    """The sentence with each of its identity terms swapped for each of its alternatives."""
-    out = []
-    for i, w in enumerate(words):
-        out += [[*words[:i], other, *words[i + 1 :]] for other in swap.get(w, ()) if other != w]
-    return out
+def counterfactuals(words: set[str], swap: dict[str, tuple[str, ...]]) -> list[tuple[str, str | None]]:
+    """The swaps of a text: each identity term in it for each of its alternatives, and for none."""
+    return [(w, other) for w in sorted(words) if w in swap for other in (*(x for x in swap[w] if x != w), None)]
 
 
 def _gaps(texts: list[str], index: dict[str, int], terms: tuple[tuple[str, ...], ...]) -> list[tuple[list[int], list[float]]]:
-    """Feature differences of sentences and their counterfactuals.
+    """Feature differences of whole texts and their counterfactuals.
 
-    The terms in a labelled sentence are swapped. A sentence that names no group is put before a neutral
-    mention of one, chosen in turn, and that is swapped, so that each term is seen.
+    All occurrences of a term are swapped, or dropped. A text that names no group gets a neutral mention
+    of one, chosen in turn, and that is swapped, so that each term is seen. Only what the swapped
+    words change is looked at.
     """
     swap = {w: line for line in terms for w in line}
     every = [w for line in terms for w in line]
+    of = {w: features(w) for w in every}
     out, turn = [], 0
     for text in texts:
-        words = WORD.findall(text[:500].lower())[:40]
-        if not any(w in swap for w in words):
-            words, turn = [*words, every[turn % len(every)]], turn + 1
-        have = features(" ".join(words))
-        bare = features(" ".join(w for w in words if w not in swap))
-        for other in [*map(lambda x: features(" ".join(x)), counterfactuals(words, swap)), bare]:
-            gap = [(index[f], 1.0) for f in have - other if f in index] + [(index[f], -1.0) for f in other - have if f in index]
+        words = set(WORD.findall(text.lower()))
+        if every and not any(w in swap for w in words):
+            words.add(every[turn % len(every)])
+            turn += 1
+        for w, other in counterfactuals(words, swap):
+            rest = words - {w}
+            stays = {f for f in of[w] | (of[other] if other else set()) if f in rest or f[-1] == "*" and any(x.startswith(f[:-1]) and len(x) >= len(f) - 1 for x in rest)}
+            lost, won = of[w] - stays, (of[other] if other else set()) - stays
+            gap = [(index[f], 1.0) for f in sorted(lost - won) if f in index] + [(index[f], -1.0) for f in sorted(won - lost) if f in index]
             if gap:
                 out.append(([i for i, _ in gap], [x for _, x in gap]))
     return out
@@ -97,7 +101,7 @@ class _Rows:
         return np.bincount(self.col, g[self.row] * self.val, width)
 
 
-def fit(texts: list[str], toxic: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = 1.0, ridge: float = 0.01, rounds: int = 250) -> tuple[dict[str, float], float]:
+def fit(texts: list[str], toxic: list[int], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = PENALTY, ridge: float = 0.01, rounds: int = 250) -> tuple[dict[str, float], float]:
     """Weights by feature, and the intercept.
 
     Minimises the logistic loss + ``ridge`` |w|^2 / 2 + ``penalty`` times the mean squared change of the
@@ -125,7 +129,7 @@ def fit(texts: list[str], toxic: list[int], terms: tuple[tuple[str, ...], ...] =
     del ids
     x = _Rows([(c := place[s[keep[s]]].tolist(), [1.0] * len(c)) for s in sets])
     x.val = scale[x.col]
-    z = _Rows(_gaps(texts[:2000], index, terms))
+    z = _Rows(_gaps(texts, index, terms))
     z.val = z.val * scale[z.col] if len(z.val) else z.val
     # One step length for all coordinates, by power iteration on the loss's bound X'X / 4n.
     n, width = len(y), len(index)
@@ -170,16 +174,26 @@ def scorer(weights: dict[str, float], intercept: float):  # noqa: ANN201
     return score
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[dict[str, float], float]:
-    """Fit on at most ``rows`` labelled documents whose crc32(doc_id) mod 4 is not 2, the least by hash.
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> tuple[dict[str, float], float]:
+    """Fit on labelled documents whose crc32(doc_id) mod 4 is not 2, the least by hash.
 
-    Rows without a text or a label are left out; repeated labels count once.
+    At most ``rows`` of them and ``chars`` characters in all; a text that no longer fits is passed over, so the driver gets
+    a bounded number of bytes, in whole texts. Rows without a text or a label are left out; repeated labels
+    count once, and of repeated doc_ids the least text.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    have = docs.where("text IS NOT NULL").select("doc_id", "text")
-    got = have.join(F.broadcast(known), "doc_id").orderBy("doc_id", "text").collect()
+    have = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    have = written(have.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    left, fitting = chars, []
+    for r in have.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left:
+            left -= r.n
+            fitting.append((r.doc_id,))
+    some = docs.sparkSession.createDataFrame(fitting, have.select("doc_id").schema)
+    got = have.join(F.broadcast(some), "doc_id").orderBy("doc_id").collect()
+    discard(have)
     return fit([r.text for r in got], [r.toxic for r in got])
 
 
