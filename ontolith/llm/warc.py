@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontolith.llm.near import bound_batches
-from ontolith.plans.shared import fresh_path, written
+from ontolith.plans.shared import discard, fresh_path, remove, written
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"  # pages carry no time of their own
 PIECE = 1 << 20
-ARCHIVE_BYTES = 1 << 30  # of payload, after which a task begins another archive
+# Of payload, and of records, after which a task begins another archive.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 1 << 30, 100_000
 _END = b"\r\n\r\n"
 _WROTE = "path string, ordinal long, page_id long, digest string, payload_bytes long"
 _INDEXED = "path string, records long"
@@ -169,6 +170,15 @@ def _drain(parts: Iterator[bytes], member, out: BinaryIO) -> list[int]:  # noqa:
     return [out.write(member.compress(x)) for x in parts]
 
 
+def _lines(file: BinaryIO) -> Iterator[str]:
+    rest = b""
+    while piece := file.read(PIECE):
+        *lines, rest = (rest + piece).split(b"\n")
+        yield from (x.decode() for x in lines)
+    if rest:
+        yield rest.decode()
+
+
 def read_file(path_uri: str) -> Iterator[tuple[int | None, int, str, str, int | None]]:
     """The records of a normalised archive, each found by the index and inflated alone.
 
@@ -176,7 +186,7 @@ def read_file(path_uri: str) -> Iterator[tuple[int | None, int, str, str, int |
     """
     fs, path = _located(path_uri)
     with fs.open_input_stream(f"{path}.idx", compression=None) as index, fs.open_input_file(path) as file:
-        for line in index.read().decode().splitlines():
+        for line in _lines(index):
             offset, length, _, _ = line.split(" ", 3)
             file.seek(int(offset))
             raw = zlib.decompress(file.read(int(length)), 31)
@@ -208,7 +218,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
                 out.write(member.compress(record))
                 rows.append((path, ordinal, page, digest, len(payload)))
                 ordinal, filled = ordinal + 1, filled + len(payload)
-                if filled >= ARCHIVE_BYTES:
+                if filled >= ARCHIVE_BYTES or ordinal >= ARCHIVE_RECORDS:
                     out.write(member.flush())
                     out.close()
                     out = None
@@ -265,20 +275,25 @@ def archive(pages: DataFrame, least: int = 0, folder: str | None = None) -> Data
     One row for each row of ``pages``; see ``_READ``. A null html is an empty payload. Of records with
     equal payloads of at least ``least`` bytes the one with the smallest page_id is the response and the
     others revisit it; smaller payloads are all responses. A null page_id comes last and is a response
-    if no numbered page has its payload; rows that repeat the smallest page_id are responses too. An
+    if no numbered page has its payload; of rows that repeat the smallest page_id one is the response. An
     empty table gives no archive and no row. Other columns are ignored.
 
-    Payloads are compressed where they are read and never shuffled; only their digests are.
+    Payloads are compressed where they are read and never shuffled; only their digests are. An archive has
+    a bounded number of records. The monolithic archives go once they are rewritten.
     """
     spark = pages.sparkSession
     bound_batches(spark)
     folder = folder or fresh_path(spark, "warc")
     wrote = write_archives(pages, f"{folder}/monolithic")
-    same = wrote.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
-    again = wrote.join(same.where("n > 1 AND refers_to IS NOT NULL"), ["digest", "payload_bytes"]).where("page_id IS NULL OR page_id <> refers_to")
-    revisits = again.groupBy("path").agg(F.collect_list(F.struct("ordinal", "refers_to")).alias("revisits"))
-    archives = wrote.select("path").distinct().join(revisits, "path", "left")
-    return read_archives(normalise_archives(written(archives, "archives"), f"{folder}/normalised"))
+    place = F.struct("page_id", "path", "ordinal")
+    same = wrote.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest", "payload_bytes").agg(F.min(place).alias("first"))
+    again = wrote.join(same, ["digest", "payload_bytes"]).where(F.col("page_id").isNull() | (place != F.col("first")))
+    revisits = again.groupBy("path").agg(F.collect_list(F.struct("ordinal", F.col("first.page_id").alias("refers_to"))).alias("revisits"))
+    archives = written(wrote.select("path").distinct().join(revisits, "path", "left"), "archives")
+    normal = normalise_archives(archives, f"{folder}/normalised")
+    discard(wrote, archives)
+    remove(spark, f"{folder}/monolithic")
+    return read_archives(normal)
 
 
 #: The same rows in SQL, but for the digest, which DuckDB has in hexadecimal only.
