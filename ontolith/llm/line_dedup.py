@@ -20,7 +20,8 @@ def drop_repeated_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` (doc_id, text, ...) with ``text`` cut, plus n_lines and n_removed.
 
     Documents are ordered by doc_id, null last, then by a hash of their text; rows that repeat both
-    are one document and get the same result. Windows are compared by 128 bits of hash. A null text
+    are one document and get the same result. Windows are compared by 128 bits of hash, from
+    two hashes of each line. A null text
     stays null (0 lines); a text shorter than ``width`` lines has no window and stays whole; a
     document all of whose lines go keeps an empty text. Lines are what "\\n" separates, compared
     exactly. Other columns pass through, but columns named n_lines or n_removed are replaced.
@@ -31,7 +32,7 @@ def drop_repeated_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumn("_th", F.xxhash64("text"))
-    hashes = keyed.select("doc_id", "_th", F.transform(_lines(), lambda x: F.xxhash64(x)).alias("lh")).where(F.size("lh") >= width)
+    hashes = keyed.select("doc_id", "_th", F.transform(_lines(), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("lh")).where(F.size("lh") >= width)
     windows = hashes.select(
         "doc_id",
         "_th",
@@ -39,8 +40,8 @@ def drop_repeated_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
             F.transform(
                 F.sequence(F.lit(1), F.size("lh") - width + 1),
                 lambda i: F.struct(
-                    F.xxhash64(*[F.element_at("lh", i + k) for k in range(width)]).alias("h1"),
-                    F.xxhash64(F.lit(width), *[F.element_at("lh", i + k) for k in reversed(range(width))]).alias("h2"),
+                    F.xxhash64(*[F.element_at("lh", i + k)["a"] for k in range(width)]).alias("h1"),
+                    F.xxhash64(F.lit(width), *[F.element_at("lh", i + k)["b"] for k in range(width)]).alias("h2"),
                 ),
             )
         ).alias("pos", "h"),
