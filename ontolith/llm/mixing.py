@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontolith.plans.shared import written
+from ontolith.llm.rows import copies
+from ontolith.plans.shared import discard, written
 
 #: A word is a run of characters other than blank and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,9 +38,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     open sources then have one level per weight, found by as many sums as there are rounds of closing.
     """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    # Ranks: sources sorted into parts, each part's first rank from the sizes of those before it.
+    parts = written(by.withColumn("none", F.col("source").isNull()), "sizes")
+    parts = written(parts.repartitionByRange(max(1, parts.count() // 100_000), "none", "source").withColumn("part", F.spark_partition_id()), "parts")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    start = parts.groupBy("part").agg(F.count("*").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    rank = F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("none", "source")) - 1
     weigh = F.element_at(F.array(*map(F.lit, map(float, weights))), (rank % len(weights) + 1).cast("int"))
-    by = written(by.select("source", "source_size", "n", weigh.alias("weight")), "sources")
+    by = written(parts.join(start, "part").select("source", "source_size", "n", weigh.alias("weight")), "sources")
     words = by.agg(F.sum("source_size")).first()[0] or 0
     cap, level = most * F.col("source_size"), 0.0
     closed = None
@@ -110,18 +116,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     An empty table gives an empty mix. Draws are seeded by source and block, never by partition.
     """
     count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select("doc_id", "source", count.alias("size")), "sizes")
+    # Equal rows are numbered, so that they are dealt to different blocks, and to the same ones on every run.
+    sizes = docs.select("source", "doc_id", count.alias("size")).groupBy("source", "doc_id", "size").agg(F.count("*").alias("_times"))
+    sizes = written(copies(written(sizes, "sizes"), F.col("_times"), "copy").drop("_times"), "rows")
     aim = written(targets(sizes, weights, share, most), "targets")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_per_block)).cast("long")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     all_docs = sizes.join(aim.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "source", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "size", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"), F.lit(False).alias("left")
+        "source", F.pmod(F.xxhash64("doc_id", "size", "copy"), blocks).alias("block"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), "size", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"), F.lit(False).alias("left")
     )
     most_blocks = aim.agg(F.max(blocks)).first()[0] or 1
-    now, done, level = all_docs, [], 0
+    now, done, rounds, level = all_docs, [], [], 0
     while True:
         last = most_blocks == 1
         now = written(now.groupBy("source", "block").applyInPandas(_meetings(level, last), BLOCK), "rounded")
+        rounds.append(now)
         done.append(now.where("NOT left"))
         if last:
             break
@@ -131,7 +140,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     for x in done[1:]:
         decided = decided.unionByName(x)
     taken = (F.col("size") * (F.col("whole") + F.round("part").cast("long"))).alias("taken")
-    return decided.join(F.broadcast(aim.withColumnRenamed("source", "of")) if _small(aim) else aim.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "size", "source_size", "target", taken)
+    aim = aim.withColumnRenamed("source", "of")
+    out = decided.join(F.broadcast(aim) if _small(aim) else aim, F.col("source").eqNullSafe(F.col("of")))
+    out = written(out.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "size", "source_size", "target", taken), "mix")
+    discard(sizes, *rounds)
+    return out
 
 
 def _small(aim: DataFrame, most: int = 100_000) -> bool:
