@@ -102,7 +102,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR)
     starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - places + 1), F.least("pos", last))
     at = hits.join(enough, alike).select(*group, F.explode(starts).alias("start"))
     at = at.groupBy(*group, "start").agg(F.count("*").alias("n")).where(F.col("n") >= need)
-    seeds = written(at.select(*doc, "size", "start", "width").distinct(), "windows")
+    # A window is looked up among the items whose shingles it has enough of, not among all of its size.
+    wanted = written(at.select(*doc, "size", "start", "width", "item").distinct(), "windows")
+    seeds = wanted.drop("item").distinct()
     texts = docs.hint("merge").join(seeds.select(*doc).distinct().toDF("d", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi").distinct()
     held = texts.select(*doc, _words().alias("w")).withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     window = [*doc, "size", "start", "width"]
@@ -116,8 +118,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILAR)
     for i in range(1, BLOCK_BITS):
         some = some.bitwiseOR(F.shiftrightunsigned(unlike, i))
     first = some.bitwiseAND(F.col("before")) == F.col("before")  # no block before this one agrees
-    on = (F.col("size") == F.col("s")) & (F.col("block") == F.col("k")) & (F.col("bits") == F.col("v")) & first & (F.bit_count(unlike) <= RADIUS)
-    pairs = written(prints.join(_bounded(known, items.count() * BLOCKS), on).select(*window, "item", "item_id"), "candidates")
+    mine = wanted.withColumnsRenamed({"doc_id": "_d", "text_hash": "_t", "size": "_s", "start": "_a", "item": "_i"}).drop("width")
+    of = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")) & (F.col("size") == F.col("_s")) & (F.col("start") == F.col("_a"))
+    on = (F.col("_i") == F.col("item")) & (F.col("block") == F.col("k")) & (F.col("bits") == F.col("v")) & first & (F.bit_count(unlike) <= RADIUS)
+    pairs = written(prints.join(mine, of).join(_bounded(known, items.count() * BLOCKS), on).select(*window, "item", "item_id"), "candidates")
     bag = None
     for width in widths:
         of = cut.where(F.col("width") == width).select(*window, F.explode(_shingles("ww", width)).alias("h"))

@@ -108,11 +108,11 @@ def fit(texts: list[str], toxic: list[int], terms: tuple[tuple[str, ...], ...] =
     logit between sentences and their counterfactuals, by Nesterov steps on scaled features. Features
     of fewer than three texts, and those that go with the label by less than ``SCREEN`` standard
     deviations, are left out, but identity terms are always in. Without both labels the
-    weights are empty and the intercept is the log odds of the labels seen (no label: zero).
+    weights are empty and the intercept says the label seen, not toxic if there is none.
     """
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
-        return {}, 0.0 if not len(y) else (4.0 if y[0] else -4.0)
+        return {}, 4.0 if len(y) and y[0] else -4.0
     named = sorted(set().union(*(features(w) for line in terms for w in line))) if terms else []
     ids: dict[str, int] = {f: i for i, f in enumerate(named)}
     sets = [np.array(sorted(ids.setdefault(f, len(ids)) for f in sorted(features(t))), np.int32) for t in texts]
@@ -202,8 +202,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 
     The score is that of the whole text; null and empty texts get the score of a text without
     features. A null doc_id is scored like any other and counts as not held out. Columns of ``docs``
-    named like results are replaced; no column but text is an input of the score. Without labels every
-    score is one half. An empty table gives an empty result.
+    named like results are replaced; no column but text is an input of the score. Without labels no
+    text is predicted toxic. An empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     weigh = scorer(*train(docs, labels))

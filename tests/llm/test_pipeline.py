@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from ontolith.llm import queries
 
 
@@ -41,5 +43,25 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == kept["mixing"]
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    d = str(tmp_path)
+    rows = [(1, "b " * 30, "en", "s", 1), (1, "a " * 30, "en", "s", 1), (1, "a " * 30, "en", "s", 1), (None, "c " * 30, None, None, None), (None, None, None, None, None), (2, None, "en", "s", 1), (3, "", "en", "s", 1), (4, "word " * 30_000, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data, columns in (("documents", rows, schema), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
+        spark.createDataFrame(data, columns).withColumns({"size": F.lit(1), "score": F.lit("x"), "kept": F.lit(True), "predicted": F.lit(9)}).write.parquet(f"{d}/{name}.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, d)
+    assert sorted((r.doc_id, (r.text or "")[:3]) for r in near.where("doc_id IS NOT NULL").collect()) == [(1, "a a"), (2, ""), (3, ""), (4, "wor")]
+    assert near.count() == 6
+    got = corpus_pipeline.run(spark, d).collect()
+    assert sorted((g.doc_id or 0, g.size) for g in got) == [(0, 0), (0, 30), (1, 30), (2, 0), (3, 0), (4, 30_000)]
+    spark.read.parquet(f"{d}/documents.parquet").limit(0).write.parquet(f"{d}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{d}/{name}.parquet").write.parquet(f"{d}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{d}/none").count() == 0
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
