@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet to the
 shared folder and reads again as the next stage's documents. All but the last return the columns of
-documents.
+documents. Other columns of documents are dropped; empty tables give empty stages; documents with a
+null text or doc_id pass every stage but the last, which has them with size 0 or a null doc_id.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to the labelled ones outside the held-out fold, doesn't reject."""
+    """Documents that the classifier, fitted to the labelled ones outside the held-out fold, doesn't reject; null texts stay."""
     return toxicity.score(docs.select(COLUMNS), _table(spark, sf_dir, "labels")).where("predicted = 0").select(COLUMNS)
 
 
@@ -35,11 +36,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id, once."""
+    """One document of each near-duplicate class, the one with the smallest doc_id, once.
+
+    Of rows that share a doc_id the one with the least text stays, the text that was compared; of those
+    that share it too, the least row. Rows without a doc_id all stay.
+    """
     docs = docs.select(COLUMNS)
     gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    stay = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return stay.select(COLUMNS).unionByName(docs.where("doc_id IS NULL"))
+    stay = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(COLUMNS)
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if not again.isEmpty():
+        row = F.min(F.struct(F.col("text").isNull().alias("none"), *COLUMNS[1:])).alias("row")
+        least = stay.join(again, "doc_id").groupBy("doc_id").agg(row).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]])
+        stay = stay.join(again, "doc_id", "left_anti").select(COLUMNS).unionByName(least)
+    return stay.unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
