@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ontolith.llm import text as T
 from ontolith.plans.components import components
-from ontolith.plans.shared import discard, written
+from ontolith.plans.shared import discard, release, written
 
 
 def bound_batches(spark: SparkSession, size: str = "8m") -> None:
@@ -120,7 +120,11 @@ def classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], least: flo
     linked, both ends get into one class.
     """
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where(apart(F.col("head"), F.col("tail"))).drop("tail")
-    entries = written(keys.join(heads, "key").select("key", "id", "head"), "buckets")
+    heads = written(heads, "heads")
+    release(keys.sparkSession)  # the entries are shuffled twice, and the first time is over
+    entries = written(keys.join(heads.select("key", "head"), "key").select("key", "id", "head"), "buckets")
+    discard(heads)
+    release(keys.sparkSession)
     first = written(entries.where(apart(F.col("id"), F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
     texts = written(fetch(entries.select("id").distinct()).select("id", "text"), "texts")
     told = verified(first, texts)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ontolith.llm import near
 from ontolith.llm import text as T
-from ontolith.plans.shared import discard, written
+from ontolith.plans.shared import discard, release, written
 
 SPAN, SHORT = 26, 25
 LONG_SPAN, LONG = 51, 50
@@ -191,6 +191,7 @@ def _alike(docs: DataFrame, units: DataFrame, least: float) -> DataFrame:
     place = F.struct("doc_id", "word")
     sets = units.groupBy("digest", "also", "size").agg(F.min(place).alias("id"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in _KEYS])
     sets = written(sets, "paragraphs")
+    release(docs.sparkSession)
 
     def fetch(used: DataFrame) -> DataFrame:
         wanted = used.join(sets.select("id", "size"), "id").groupBy(F.col("id.doc_id").alias("doc_id"))
@@ -258,7 +259,7 @@ def repeated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     torn = not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     if torn:
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    units = written(docs.mapInPandas(_paragraphs, _UNITS), "units")
+    units = written(docs.mapInPandas(_paragraphs, _UNITS), "units")  # keys of short ones are zeros, which take no room
     alike = _alike(docs, units, least)
     again = alike.unionByName(_equal(units)).select("doc_id", "word", "size", F.col("rep.doc_id").alias("rdoc"), F.col("rep.word").alias("rword"))
     later = (F.col("doc_id") != F.col("rdoc")) | (F.col("word") >= F.col("rword") + F.col("size"))
