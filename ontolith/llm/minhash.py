@@ -57,7 +57,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     copies = written(copies, "copies")
     keys = copies.select(F.explode("bands").alias("key"), "id")
     texts = docs.withColumnRenamed("doc_id", "id")
-    at, links = near.classes(keys, lambda used: texts.hint("merge").join(used, "id"), least)
+    at, links = near.classes([keys], lambda used: texts.hint("merge").join(used, "id"), least)
     of = signed.join(copies.select("d1", "d2", "id"), ["d1", "d2"], "left").select("doc_id", F.coalesce("id", "doc_id").alias("id"))
     named = of.join(at.withColumnRenamed("v", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("class_id"))
     out = named.withColumn("kept", F.col("doc_id") == F.col("class_id"))

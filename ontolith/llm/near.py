@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -111,20 +112,27 @@ def _differ(a: Column, b: Column) -> Column:
     return a != b
 
 
-def classes(keys: DataFrame, fetch: Callable[[DataFrame], DataFrame], least: float, apart: Callable[[Column, Column], Column] = _differ) -> tuple[DataFrame, DataFrame]:
-    """(key, id) bucket entries -> (v, component) and links (a, b, sim) that connect them.
+def classes(bands: list[DataFrame], fetch: Callable[[DataFrame], DataFrame], least: float, apart: Callable[[Column, Column], Column] = _differ) -> tuple[DataFrame, DataFrame]:
+    """(key, id) bucket entries, in one table or one for each band -> (v, component) and links (a, b, sim) that connect them.
 
     Ids are of any one orderable type and stand for distinct texts. ``fetch`` gets a table of distinct
     ids and returns their (id, text), each id once. Two texts are linked if their similarity is ``least`` or
     more and their ids are ``apart``, a symmetric condition; of every pair in one bucket that is
     linked, both ends get into one class.
     """
+    spark, several = bands[0].sparkSession, []
+    for keys in bands:  # most keys have one entry, and are counted without it; one table's shuffles are over before the next
+        common = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "common")
+        release(spark)
+        several.append(written(keys.join(common, "key").select("key", "id"), "several"))
+        discard(common)
+        release(spark)
+    keys = reduce(DataFrame.unionByName, several)
     heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("tail")).where(apart(F.col("head"), F.col("tail"))).drop("tail")
     heads = written(heads, "heads")
-    release(keys.sparkSession)  # the entries are shuffled twice, and the first time is over
-    entries = written(keys.join(heads.select("key", "head"), "key").select("key", "id", "head"), "buckets")
-    discard(heads)
-    release(keys.sparkSession)
+    entries = written(keys.join(heads, "key").select("key", "id", "head"), "buckets")
+    discard(heads, *several)
+    release(spark)
     first = written(entries.where(apart(F.col("id"), F.col("head"))).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "pairs")
     texts = written(fetch(entries.select("id").distinct()).select("id", "text"), "texts")
     told = verified(first, texts)

@@ -39,24 +39,39 @@ AROUND = SPAN + SHORT
 EDGE = 5
 _U = np.uint64
 _A = _U(0x9E3779B97F4A7C15)
+_LOW = _U(0xFFFFFFFF)
 _KEYS = [f"k{b}" for b in range(BANDS)]
 _UNITS = "doc_id long, word int, size int, banded boolean, digest long, also int, " + ", ".join(f"{k} long" for k in _KEYS)
 
 
-def run_hashes(words: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
-    """Hashes of all runs of ``width`` words, by doubling; fewer words give none."""
-    if len(words) < width:
-        return np.zeros(0, _U)
-    doubled, size, at = T.mixed(words + _U(seed)), 1, 0
-    out = np.full(len(words) - width + 1, _U(width * seed))
-    while True:
-        if width & size:
-            out = T.mixed(out * _A + doubled[at : at + len(out)])
-            at += size
-        if 2 * size > width:
-            return out
-        doubled = T.mixed(doubled[:-size] * _A + doubled[size:])
+def _mark(k: np.ndarray, seed: int) -> np.ndarray:
+    """What tells the ``k``-th word of a run from the others."""
+    return T.mixed(k.astype(_U) * _A + _U(seed))
+
+
+def run_hashes(words: np.ndarray, width: int, seed: int = 1, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the runs of ``width`` words from each place on, or from all; fewer words give none."""
+    at = np.arange(max(0, len(words) - width + 1)) if at is None else at
+    out = np.full(len(at), width * seed, _U)
+    for k, mark in enumerate(_mark(np.arange(width), seed)):
+        out += T.mixed(words[at + k] ^ mark)
+    return T.mixed(out)
+
+
+def whole_hashes(words: np.ndarray, size: np.ndarray, seed: int = 1) -> np.ndarray:
+    """The same hashes of texts of ``size`` words, all of which lie one after another in ``words``."""
+    begin = np.cumsum(size) - size
+    marked = T.mixed(words ^ _mark(np.arange(len(words)) - np.repeat(begin, size), seed))
+    return T.mixed(np.add.reduceat(marked, begin) + (size * seed).astype(_U))
+
+
+def _sliding(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
         size *= 2
+    return np.minimum(values[: len(values) - (width - size)], values[width - size :])
 
 
 def anchors(words: np.ndarray, of: np.ndarray, span: int) -> np.ndarray:
@@ -65,33 +80,27 @@ def anchors(words: np.ndarray, of: np.ndarray, span: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     h = T.mixed(words * _A)
     h[:-1] = np.where(of[:-1] == of[1:], T.mixed(words[:-1] * _A ^ words[1:]), h[:-1])
-    runs = np.lib.stride_tricks.sliding_window_view(h[::-1], span)[::-1]
-    least = np.arange(len(runs)) + span - 1 - runs.argmin(axis=1)
-    return np.unique(least[of[: len(runs)] == of[span - 1 :]])
+    later = _LOW - np.arange(len(h), dtype=_U)
+    at = (_LOW - (_sliding((h & ~_LOW) | later, span) & _LOW)).astype(np.int64)
+    at = at[of[: len(at)] == of[span - 1 :]]
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
 
 
-def _least(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The least of ``width`` values from each place on."""
-    size = 1
-    while 2 * size <= width:
-        values = np.minimum(values[:-size], values[size:])
-        size *= 2
-    return np.minimum(values[at], values[at + width - size])
-
-
-def bands(shingles: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
-    """The band keys of the sets of ``width`` shingles from each place on, an array for each band."""
-    keys = []
+def bands(shingles: np.ndarray, at: np.ndarray, width: int | None) -> list[np.ndarray]:
+    """The band keys of the sets of ``width`` shingles from each place on, or of those up to the next place."""
+    short, keys = (shingles >> _U(32)).astype(np.uint32), []
     for band in range(BANDS):
         key = np.full(len(at), band + 1, _U)
         for r in range(band * ROWS, band * ROWS + ROWS):
-            seed = _U((r + 1) * 0xD6E8FEB86659FD93 % 2**64)
-            key = T.mixed(key * _A ^ _least(T.mixed(shingles ^ seed), at, width))
+            seed = int(T.mixed(np.array([r + 1], _U))[0])
+            values = (short ^ np.uint32(seed >> 32)) * np.uint32(seed & 0xFFFFFFFF | 1)
+            least = _sliding(values, width)[at] if width else np.minimum.reduceat(values, at)
+            key = T.mixed(key * _A ^ least)
         keys.append(key.view(np.int64))
     return keys
 
 
-def _unit(doc_id: np.ndarray, word: np.ndarray, size: int, digest: np.ndarray, also: np.ndarray, keys: list[np.ndarray] | None) -> pd.DataFrame:
+def _unit(doc_id: np.ndarray, word: np.ndarray, size: int | np.ndarray, digest: np.ndarray, also: np.ndarray, keys: list[np.ndarray] | None) -> pd.DataFrame:
     n = len(word)
     cols = {"doc_id": doc_id, "word": word.astype(np.int32), "size": np.full(n, size, np.int32), "banded": np.full(n, keys is not None)}
     cols |= {"digest": digest.view(np.int64), "also": (also >> _U(32)).astype(np.uint32).view(np.int32)}
@@ -114,11 +123,14 @@ def paragraphs(ids: np.ndarray, texts: list[str]) -> Iterator[pd.DataFrame]:
         keys = bands(T.shingle_hashes(words), at, length - T.SHINGLE + 1) if banded else None
         if banded:
             long[doc] = True
-        yield _unit(ids[doc], at - begins[doc], length, run_hashes(words, length)[at], run_hashes(words, length, 7)[at], keys)
-    for i in np.flatnonzero(~long & (size > 0)):
-        shingles, w = T.shingle_hashes(each[i]), each[i]
-        keys = bands(shingles, np.zeros(1, np.int64), len(shingles))
-        yield _unit(ids[i : i + 1], np.zeros(1, np.int64), len(w), run_hashes(w, len(w)), run_hashes(w, len(w), 7), keys)
+        yield _unit(ids[doc], at - begins[doc], length, run_hashes(words, length, 1, at), run_hashes(words, length, 7, at), keys)
+    whole = np.flatnonzero(~long & (size > 0))
+    if len(whole):
+        words, size = np.concatenate([each[i] for i in whole]), size[whole]
+        shingles = [T.shingle_hashes(each[i]) for i in whole]
+        n = np.array([len(x) for x in shingles])
+        keys = bands(np.concatenate(shingles), np.cumsum(n) - n, None)
+        yield _unit(ids[whole], np.zeros(len(whole), int), size, whole_hashes(words, size), whole_hashes(words, size, 7), keys)
 
 
 def _paragraphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,11 +211,12 @@ def _alike(docs: DataFrame, units: DataFrame, least: float) -> DataFrame:
         cut = docs.hint("merge").join(wanted, "doc_id").mapInPandas(_cut, "doc_id long, word int, text string")
         return cut.select(place.alias("id"), "text")
 
-    at, links = near.classes(sets.select(F.explode(F.array(*_KEYS)).alias("key"), "id"), fetch, least, _apart)
+    at, links = near.classes([sets.select(F.col(k).alias("key"), "id") for k in _KEYS], fetch, least, _apart)
     shared = sets.join(at.withColumnRenamed("v", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     shared = shared.select("digest", "also", "size", F.coalesce("component", "id").alias("rep"))
     found = written(units.hint("merge").join(shared, ["digest", "also", "size"]).select("doc_id", "word", "size", "rep"), "alike")
     discard(sets, links, at)
+    release(docs.sparkSession)
     return found
 
 
@@ -265,6 +278,8 @@ def repeated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     later = (F.col("doc_id") != F.col("rdoc")) | (F.col("word") >= F.col("rword") + F.col("size"))
     again = again.where(later).select("doc_id", "rdoc", (F.col("word") - F.col("rword")).alias("shift"), F.col("word").alias("first"), (F.col("word") + F.col("size")).alias("end"))
     again = written(again, "again")
+    discard(units, alike)
+    release(docs.sparkSession)
     runs = written(_stretches(again), "runs")
     edges = [(F.col("doc_id"), F.col("first")), (F.col("doc_id"), F.col("end"))]
     edges += [(F.col("head.rdoc"), F.col("first") - F.col("head.shift")), (F.col("tail.rdoc"), F.col("end") - F.col("tail.shift"))]
@@ -290,5 +305,5 @@ def repeated(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     stay = _merged(theirs.distinct(), "doc_id").select("doc_id", "first", "end", F.lit(True).alias("kept"), F.col("doc_id").alias("rdoc"), F.col("first").alias("rword"))
     out = gone.unionByName(stay).select("doc_id", F.col("first").alias("first_word"), (F.col("end") - F.col("first")).alias("n_words"), "kept", F.col("rdoc").alias("class_doc"), F.col("rword").alias("class_word"))
     out = written(out, "passages")
-    discard(units, alike, again, runs, around, grown)
+    discard(again, runs, around, grown)
     return out
