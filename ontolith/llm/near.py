@@ -88,7 +88,9 @@ def across(ids: DataFrame, texts: DataFrame, least: float, apart: Callable[[Colu
     bags = texts.join(ids, "id").select("id", "component", _bag("text").alias("bag"))
     tokens = written(bags.select("id", "component", F.size("bag").alias("size"), F.explode("bag").alias("t")), "tokens")
     shared = tokens.groupBy("t").agg(F.count("*").alias("f"), F.min("component").alias("x"), F.max("component").alias("y"))
-    rows = tokens.join(shared.where("x <> y").select("t", "f"), "t").groupBy("id", "component", "size")
+    # Written, as a join right after an aggregation by its key can't be split where the key is hot.
+    shared = written(shared.where("x <> y").select("t", "f"), "shared")
+    rows = tokens.join(shared, "t").groupBy("id", "component", "size")
     rows = rows.agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("s"))
     fewest = F.ceil(F.col("size") * least - 1e-9)  # tokens shared with any text that is alike
     rows = rows.where(F.size("s") >= fewest).select("id", "component", "size", (F.col("size") - F.size("s")).alias("own"), F.posexplode("s").alias("i", "u"))
@@ -96,7 +98,8 @@ def across(ids: DataFrame, texts: DataFrame, least: float, apart: Callable[[Colu
     prefix = written(rows.where(F.col("place") <= F.col("size") - fewest), "prefix")
     most = prefix.groupBy("t", "component").agg(F.count("*").alias("n"))
     most = most.groupBy("t").agg(F.max(F.struct("n", "component"))["component"].alias("host"), F.count("*").alias("k")).where("k > 1").select("t", "host")
-    busy = prefix.join(most, "t")
+    most = written(most, "hosts")
+    busy = written(prefix.join(most, "t"), "busy")
     one, two = (busy.select("t", *[F.col(c).alias(f"{c}{k}") for c in ("id", "component", "size", "place")], *(["host"] if k == 1 else [])) for k in (1, 2))
     both = F.ceil(least / (1 + least) * (F.col("size1") + F.col("size2")) - 1e-9)
     room = F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) >= both
@@ -104,7 +107,7 @@ def across(ids: DataFrame, texts: DataFrame, least: float, apart: Callable[[Colu
     met = met.where(apart(F.col("id1"), F.col("id2"))).select(F.least("id1", "id2").alias("b"), F.greatest("id1", "id2").alias("a"))
     pairs = written(met.select("a", "b").distinct(), "candidates")
     found = verified(pairs, texts)
-    discard(tokens, prefix, pairs)
+    discard(tokens, shared, prefix, most, busy, pairs)
     return found
 
 
